@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, mixing, packing, toxicity
+from . import chat_format, fingerprint, html_extract, minhash, mixing, packing, toxicity
 from .common import pick
 
 
@@ -58,12 +58,23 @@ def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, similarity=(80, 100))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_with_neighbours(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_patterns": op2_pack_patterns,
     "op4_mix_sources": op4_mix_sources,
     "op5_extract_html": op5_extract_html,
     "op6_score_toxicity": op6_score_toxicity,
     "op8_format_chats": op8_format_chats,
+    "op9_fast_similarity_sketch": op9_fast_similarity_sketch,
+    "op10_weighted_sampling": op10_weighted_sampling,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pick, written
+
 #: Insults that count even without labelled examples, and phrases in which such words are harmless.
 INSULTS = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting", "loser", "imbecile", "dumbass")
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "stupid mistake of mine")
@@ -166,12 +168,20 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     return lex
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean: int = 5000) -> list[tuple[str, int]]:
-    """A bounded sample of labelled, not held-out rows: at most most_toxic and most_clean, in order of a hash of the id."""
-    marks = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id")
-    pick = lambda y, n: rows.where((F.col("toxic") == 1) == F.lit(bool(y))).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(n)
-    return [(r.text, 1) for r in pick(1, most_toxic).collect()] + [(r.text, 0) for r in pick(0, most_clean).collect()]
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 2500) -> list[tuple[str, int]]:
+    """A bounded sample of labelled, not held-out rows: at most most_toxic and most_clean ids, in order of a hash of the id.
+
+    The ids are chosen from labels alone; only their texts come to the driver. Ids with conflicting labels count as toxic.
+    """
+    spark = docs.sparkSession
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = written(marks.join(pick(docs, "doc_id"), "doc_id", "left_semi"))
+    ids = [(r.doc_id, y) for y, n in ((1, most_toxic), (0, most_clean)) for r in marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+    if not ids:
+        return []
+    wanted = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id").select("doc_id", "text", "toxic").collect()
+    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
