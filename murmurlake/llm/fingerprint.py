@@ -18,18 +18,6 @@ from pyspark.sql.window import Window
 
 from .common import NULL_ID, written
 
-def weighted_terms(text: Column) -> Column:
-    """The sorted 64-bit hashes of a text's words, repeats included; a run of equal hashes is a term, its length the weight."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
-
-
-def _runs(hashes: str) -> Column:
-    n = F.size(hashes)
-    at = lambda i: F.get(F.col(hashes), i)
-    return F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (i == 0) | (at(i) != at(i - 1)))
-
-
 def _uniform(bits: Column, start: int) -> Column:
     """A number inside (0, 1) from 20 of the bits."""
     return (F.shiftrightunsigned(bits, start).bitwiseAND(F.lit(0xFFFFF)).cast("double") + 0.5) / F.lit(float(2**20))
@@ -47,24 +35,22 @@ def _sample(k: int) -> Column:
     return F.shiftleft(F.floor((F.least(ln_a, F.lit(20.0)) + 100.0) * float(2**24)), 32).bitwiseOR(sign)
 
 
-def fingerprints(texts: DataFrame, text_cols: list[str], samples: int = 48) -> DataFrame:
-    """For each row and each of text_cols, `<col>_sig`: array of 16-bit samples, empty for a text without words.
+def fingerprints(texts: DataFrame, text_cols: list[str], samples: int = 32) -> DataFrame:
+    """For each row and each of text_cols, `<col>_sig`: array of 16-bit samples; texts without words give no array.
 
-    The text columns are dropped, the others stay. Rows are told apart by a number of their own; nothing is shuffled here if
-    texts is partitioned by a subset of its columns that stay, else the samples are (never words).
+    The other columns must tell the rows apart and stay; a row none of whose texts has words is missing. Nothing is shuffled
+    here if texts is dealt out by columns that stay, else (row, term, count) is, never a text.
     """
     stay = [c for c in texts.columns if c not in text_cols]
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.coalesce(F.col(c), F.lit("")).alias("t")) for i, c in enumerate(text_cols)])
-    rows = texts.withColumn("uid", F.monotonically_increasing_id()).select(*stay, "uid", F.explode(sides).alias("s"))
-    rows = rows.select(*stay, "uid", "s.side", weighted_terms(F.col("s.t")).alias("hs"))
-    rows = rows.select(*stay, "uid", "side", "hs", _runs("hs").alias("cuts"))
-    runs = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda p, j: F.struct(F.get(F.col("hs"), p).alias("h"), (F.get(F.col("cuts"), j + 1) - p).alias("w")))
-    rows = rows.select(*stay, "uid", "side", F.explode_outer(runs).alias("r"))
-    rows = rows.select(*stay, "uid", "side", F.col("r.h").alias("h"), F.log(F.col("r.w").cast("double")).alias("lnw"), F.col("r.h").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
-    mins = rows.groupBy(*stay, "uid", "side").agg(*[F.min(_sample(k)).alias(f"s{k}") for k in range(samples)])
-    short = F.when(F.col("s0").isNull(), F.array().cast("array<int>")).otherwise(F.array(*[F.shiftrightunsigned(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), 16).cast("int") for k in range(samples)]))
-    both = mins.select(*stay, "uid", "side", short.alias("sig")).groupBy(*stay, "uid").agg(F.array_sort(F.collect_list(F.struct("side", "sig"))).alias("sigs"))
-    return both.select(*stay, *[F.get(F.col("sigs"), i)["sig"].alias(f"{c}_sig") for i, c in enumerate(text_cols)])
+    rows = texts.select(*stay, F.explode(sides).alias("s"))
+    words = rows.select(*stay, "s.side", F.explode(F.split("s.t", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    terms = words.select(*stay, "side", F.xxhash64("word").alias("h")).groupBy(*stay, "side", "h").count()
+    terms = terms.select(*stay, "side", "h", F.log(F.col("count").cast("double")).alias("lnw"), F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
+    mins = terms.groupBy(*stay, "side").agg(*[F.min(_sample(k)).alias(f"s{k}") for k in range(samples)])
+    short = F.array(*[F.shiftrightunsigned(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), 16).cast("int") for k in range(samples)])
+    both = mins.select(*stay, "side", short.alias("sig")).groupBy(*stay).agg(F.map_from_entries(F.collect_list(F.struct("side", "sig"))).alias("sigs"))
+    return both.select(*stay, *[F.try_element_at("sigs", F.lit(i)).alias(f"{c}_sig") for i, c in enumerate(text_cols)])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -92,7 +78,7 @@ def next_keys(keys: DataFrame, parts: int) -> DataFrame:
     return ranged.withColumn("lead", lead).join(F.broadcast(firsts), "part").withColumn("next_key", F.coalesce("lead", "following")).drop("lead", "following", "part")
 
 
-def fingerprint_with_neighbours(docs: DataFrame, samples: int = 48, id_col: str = "doc_id") -> DataFrame:
+def fingerprint_with_neighbours(docs: DataFrame, samples: int = 32, id_col: str = "doc_id") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
 
     edited: the last quarter (rounded down) of the code points replaced by the first as many, or all, of the next document by
@@ -103,19 +89,24 @@ def fingerprint_with_neighbours(docs: DataFrame, samples: int = 48, id_col: str
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keys = base.groupBy("key").agg(F.max(F.length("text")).alias("longest"), F.count("*").alias("times"))
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    after = written(next_keys(keys, parts))
+    shuffled = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    after = written(next_keys(keys, shuffled))
     most = after.agg(F.max("times")).first()[0] or 0
-    left, right = base.alias("n"), after.select(F.col("key").alias("for_key"), "next_key", "longest").alias("a")
-    heads = left.join(right, F.col("n.key") == F.col("a.next_key")).select("for_key", F.substr("text", F.lit(1), F.floor(F.col("longest") / 4).cast("int")).alias("head"))
+    base = base.repartition(4 * shuffled, "key")  # texts move once; both joins and all aggregation by text reuse this
+    right = after.select(F.col("key").alias("for_key"), "next_key", "longest")
+    heads = base.join(right, F.col("key") == F.col("next_key")).select("for_key", F.substr("text", F.lit(1), F.floor(F.col("longest") / 4).cast("int")).alias("head"))
     if most > 1:
         heads = heads.groupBy("for_key").agg(F.min("head").alias("head"))
     whole = base.join(heads, F.col("key") == F.col("for_key"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    whole = whole.select("key", n.cast("long").alias("n_chars"), "text", F.concat(F.substr("text", F.lit(1), n - cut), F.substr("head", F.lit(1), cut)).alias("edited"))
-    whole = whole.withColumn("edited_sha256", F.sha2("edited", 256))
-    done = written(fingerprints(whole, ["text", "edited"], samples).withColumnRenamed("text_sig", "sig"))
+    whole = whole.select("key", F.xxhash64("text").alias("th"), n.cast("long").alias("n_chars"), "text", F.concat(F.substr("text", F.lit(1), n - cut), F.substr("head", F.lit(1), cut)).alias("edited"))
+    facts = whole.select("key", "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    once = whole.dropDuplicates(["key", "th"]) if most > 1 else whole
+    sigs = fingerprints(once.select("key", "th", "text", "edited"), ["text", "edited"], samples).withColumnRenamed("text_sig", "sig")
+    none = F.array().cast("array<int>")
+    done = facts.join(sigs, ["key", "th"], "left").withColumns({"sig": F.coalesce("sig", none), "edited_sig": F.coalesce("edited_sig", none)})
+    done = written(done)
     firsts = after.select(F.col("key").alias("for_key"), "next_key").join(done.groupBy("key").agg(F.min("sig").alias("next_sig")), F.col("next_key") == F.col("key")).select("for_key", "next_sig")
     out = done.join(firsts, F.col("key") == F.col("for_key"))
     return out.select(

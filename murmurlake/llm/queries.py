@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, html_extract, minhash, mixing, packing, toxicity
+from . import chat_format, embedding_dedup, fingerprint, html_extract, minhash, mixing, packing, substring_tree, toxicity
 from .common import pick
 
 
@@ -21,6 +21,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op2_pack_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0, digest=True)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -41,6 +45,11 @@ def op6_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, lexicon, threshold=0.3).withColumn("held_out", F.coalesce(toxicity.held_out(), F.lit(False))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_tree.without_repeats(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
@@ -68,10 +77,12 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_pack_patterns": op2_pack_patterns,
     "op4_mix_sources": op4_mix_sources,
     "op5_extract_html": op5_extract_html,
     "op6_score_toxicity": op6_score_toxicity,
+    "op7_prefix_suffix_trees": op7_prefix_suffix_trees,
     "op8_format_chats": op8_format_chats,
     "op9_fast_similarity_sketch": op9_fast_similarity_sketch,
     "op10_weighted_sampling": op10_weighted_sampling,
