@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, fingerprint, html_extract, minhash, mixing, packing, substring_tree, toxicity
+from . import chat_format, embedding_dedup, fingerprint, html_extract, minhash, mixing, packing, substring_tree, suffix_array, toxicity
 from .common import pick
 
 
@@ -30,6 +30,12 @@ def op2_pack_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_sparse_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words, words inside passages of 50 and more that a smaller doc_id has too, and the digest of the rest."""
+    found = suffix_array.without_repeats(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source").withColumn("size", mixing.word_count()).drop("text")
     return mixing.mix(docs, size="size").select("doc_id", "size", "source_size", "target", "taken")
@@ -79,6 +85,7 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_inverted_multi_index": op1_inverted_multi_index,
     "op2_pack_patterns": op2_pack_patterns,
+    "op3_sparse_suffix_arrays": op3_sparse_suffix_arrays,
     "op4_mix_sources": op4_mix_sources,
     "op5_extract_html": op5_extract_html,
     "op6_score_toxicity": op6_score_toxicity,

@@ -16,7 +16,7 @@ tree of all suffixes. The tree is never built as a whole:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,10 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            size = 2 * n + 1024
-            inverse = pow(_BASE, -1, 2**64)
-            self.up = np.cumprod(np.concatenate(([1], np.full(size, _BASE, dtype=np.uint64))).astype(np.uint64), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate(([1], np.full(size, inverse, dtype=np.uint64))).astype(np.uint64), dtype=np.uint64)
+            factors = np.ones(2 * n + 1024, dtype=np.uint64)
+            for name, factor in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+                factors[1:] = factor
+                setattr(self, name, np.cumprod(factors, dtype=np.uint64))
         return self.up, self.down
 
 
@@ -133,7 +133,7 @@ def subtree_owners(ids: np.ndarray, words: list[np.ndarray], window: int) -> lis
     return np.split(least[node], np.cumsum(sizes)[:-1])
 
 
-def subtrees(paths: DataFrame, window: int, at_once: int = 20_000) -> DataFrame:
+def subtrees(paths: DataFrame, window: int, solver: Callable = subtree_owners, at_once: int = 20_000) -> DataFrame:
     """paths (prefix, path, path2, id, words) to (path, path2, owners); a prefix's paths are met together, in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def subtrees(paths: DataFrame, window: int, at_once: int = 20_000) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                owners = subtree_owners(np.array([x[3] for x in held]), [x[4] for x in held], window)
+                owners = solver(np.array([x[3] for x in held]), [x[4] for x in held], window)
                 offsets = np.concatenate(([0], np.cumsum([len(o) for o in owners]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(owners)))], ["path", "path2", "owners"])
                 held.clear()
@@ -172,13 +172,14 @@ def window_names(paths: DataFrame, window: int) -> DataFrame:
     return paths.select("path", "path2", "id", "words").mapInArrow(run, "path long, path2 long, id long, at int, w1 long, w2 long")
 
 
-def without_repeats(docs: DataFrame, window: int = 50, k: int = 8, most_paths: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 50, k: int = 8, most_paths: int = 20_000, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), solver: Callable = subtree_owners) -> DataFrame:
     """(id, n_words, n_removed, kept, spans) for each row: kept words joined by single spaces; spans (first, end) of words removed.
 
     A word goes if a window of `window` words around it has a word sequence that a document with a smaller id has too; windows
     are judged on the input. Words are runs of anything but ASCII white space, compared byte by byte. Null and empty texts
     have no words and keep an empty text. Rows that repeat an id are not smaller than each other. A null id is smaller than
-    all others. Nothing is capped: any number of documents may share a window.
+    all others. Nothing is capped: any number of documents may share a window. Columns named in carry are kept, and with them
+    `cleaned`: the text as it was where no word went, else the kept words. solver finds the owners of a group's windows.
     """
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes(f"`{text_col}`").alias("b"))
     runs = written(suffix_runs(base, window, k))
@@ -190,7 +191,7 @@ def without_repeats(docs: DataFrame, window: int = 50, k: int = 8, most_paths: i
     paths = written(paths.join(kinds, "prefix"))
     wanted = paths.where("paths > 1").select("first.*", "prefix", "path", "path2")
     told = written(path_words(base, wanted, window).join(kinds, "prefix"))
-    trees = subtrees(told.where(F.col("paths") <= most_paths).drop("paths"), window)
+    trees = subtrees(told.where(F.col("paths") <= most_paths).drop("paths"), window, solver)
     names = written(window_names(told.where(F.col("paths") > most_paths), window))
     least = names.groupBy("w1", "w2").agg(F.min("id").alias("owner"))
     large = names.join(least, ["w1", "w2"]).groupBy("path", "path2").agg(F.array_sort(F.collect_list(F.struct("at", "owner"))).alias("o")).select("path", "path2", F.transform("o", lambda x: x.owner).alias("owners"))
@@ -200,12 +201,14 @@ def without_repeats(docs: DataFrame, window: int = 50, k: int = 8, most_paths: i
     marked = shared.join(known, ["path", "path2"]).where("owners is not null or id > d0")
     marked = marked.withColumn("hit", F.when(F.col("owners").isNull(), F.lit(True)).otherwise(F.exists("owners", lambda o: o < F.col("id")))).where("hit")
     per_row = marked.groupBy("id").agg(F.collect_list(F.struct("tag", "start", "length", "owners")).alias("runs"))
-    out = cut(base.join(per_row, "id", "left").select("id", "b", "runs"), window)
+    with_more = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes(f"`{text_col}`").alias("b"), *[F.col(f"`{c}`") for c in carry])
+    out = cut(with_more.join(per_row, "id", "left").select("id", "b", "runs", *[F.col(f"`{c}`") for c in carry]), window)
     return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
 def cut(rows: DataFrame, window: int) -> DataFrame:
-    """rows (id, b, runs) to (id, n_words, n_removed, kept, spans)."""
+    """rows (id, b, runs, ...) to (id, n_words, n_removed, kept, spans), and where there are more columns those and `cleaned`."""
+    carry = rows.columns[3:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,7 +240,13 @@ def cut(rows: DataFrame, window: int) -> DataFrame:
                     gone.append(len(words) - len(left))
                     kept.append(b" ".join(left).decode("utf-8", "replace"))
                 span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span)], ["id", "n_words", "n_removed", "kept", "spans"])
-
-    return rows.mapInArrow(run, "id long, n_words long, n_removed long, kept string, spans array<struct<first:int,end:int>>")
+                cols = [part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span)]
+                if carry:
+                    cleaned = [k if g else t.decode("utf-8", "replace") for k, g, t in zip(kept, gone, part.column(1).to_pylist(), strict=True)]
+                    cols += [pa.array(cleaned, pa.string()), *[part.column(i) for i in range(3, part.num_columns)]]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["id", "n_words", "n_removed", "kept", "spans", *(["cleaned"] if carry else []), *carry]
+    more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, "id long, n_words long, n_removed long, kept string, spans array<struct<first:int,end:int>>" + (", cleaned string" + more if carry else ""))
 

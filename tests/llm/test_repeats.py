@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from murmurlake.llm import substring_tree
+from murmurlake.llm import substring_tree, suffix_array
 
 
 def corpus(seed, n=60):
@@ -54,3 +54,10 @@ def test_trees_empty_and_repeated_ids(spark):
     t = " ".join(f"a{i}" for i in range(60))
     got = substring_tree.without_repeats(spark.createDataFrame([(1, t), (1, t), (2, t), (2, "b"), (None, "c")], schema)).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 1, 0), (1, 60, 0), (1, 60, 0), (2, 1, 0), (2, 60, 60)]
+
+
+@pytest.mark.parametrize("most_paths", [20_000, 2])
+def test_arrays_equal_brute_force(spark, most_paths):
+    rows = corpus(9)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in suffix_array.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), most_paths=most_paths).collect()}
+    assert got == brute(rows)
