@@ -1,14 +1,300 @@
-"""The registry of queries over the driver's tables and their SQL equivalents."""
+"""The registry of queries over the driver's tables and their SQL equivalents.
+
+Tables stand in for the domain: documents are texts, conversations are meetings (conv_id, turn, role, with times from text lengths),
+orders are jobs with lineitems as actions and suppliers as assignees, and region/nation/segment is a folder path.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import text as tx
+from .operators import align, chunking, jobs, masking, spans, transcript
+
+TODAY = "1998-06-01"
+NAMES = ["Stein", "Leon", "Chen", "Sten", "Anna", "Erik"]
+
+#: Sentences for detectors that the generated documents never trigger.
+FIXTURE = [
+    "Patienten 811228-9874 skrevs in.", "19811228-9874", "811228-9870", "(personnummer 120504-1234,", "ordernr 999999-0000 bokfört", "ref8112289874x",
+    "ring 070-123 45 67 imorgon", "08-123456 7890123", "0701011234", "Diagnos F90.0 samt J45 noterades", "kod ABC12 finns", "Storgatan 3 lgh 12",
+    "Hen bor på Storgatan 12B numera.", "Adressen är Norra Kungsvägen 3.", "Vi gick längs gatan.", "Hen går på Björkskolan i höst.", "Vasagymnasiets rektor ringde.", "Eleven trivs i skolan.",
+    "Besök https://exempel.se/sida. Eller www.test.se, sade hen.", "server 192.168.0.1 svarar", "version 1.2.3.4.5 finns",
+]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, and the fixture sentences under negative ids."""
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(FIXTURE)], "doc_id long, text string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(rows)
+
+
+def _rule(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    rule = next(r for r in spans.RULES if r.name == name)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")) if name == "url" else texts(spark, sf_dir)
+        found = spans.rule_spans(docs, rule)
+        return found.select("doc_id", "span_start", "span_end", "text", F.round(F.col("score").cast("double"), 2).alias("score"))
+
+    return query
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = texts(spark, sf_dir)
+    return docs, spans.all_rules(docs).unionByName(spans.term_spans(docs, NAMES, "person", ignore_case=False, score=0.5, ord_=22))
+
+
+def pii_name_spans(spark, sf_dir):
+    found = spans.term_spans(texts(spark, sf_dir), NAMES, "person", ignore_case=False, score=0.5)
+    return spans.same_range_once(found).select("doc_id", "span_start", "span_end", "text")
+
+
+def pii_name_spans_by_token(spark, sf_dir):
+    terms = spark.createDataFrame([(n,) for n in NAMES], "term string")
+    return spans.token_term_spans(texts(spark, sf_dir), terms, "person", 0.5).select("doc_id", "span_start", "span_end", "text")
+
+
+def pii_resolved(spark, sf_dir):
+    _, found = _candidates(spark, sf_dir)
+    return masking.resolve(found).select("doc_id", "span_id", "span_start", "span_end", "text", "category", "source")
+
+
+def pii_counts(spark, sf_dir):
+    _, found = _candidates(spark, sf_dir)
+    return masking.counts(masking.resolve(found))
+
+
+def pii_pseudonyms(spark, sf_dir):
+    _, found = _candidates(spark, sf_dir)
+    return masking.pseudonyms(masking.resolve(found)).select("doc_id", "span_id", "text", "replacement")
+
+
+def pii_masked_text(spark, sf_dir):
+    docs, found = _candidates(spark, sf_dir)
+    return masking.masked(docs, masking.pseudonyms(masking.resolve(found)))
+
+
+def pii_masked_mail_ip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spans.all_rules(docs, {"epost", "ip_adress"})
+    return masking.masked(docs, masking.pseudonyms(masking.resolve(found)))
+
+
+def pii_render_segments(spark, sf_dir):
+    docs, found = _candidates(spark, sf_dir)
+    docs = docs.where("doc_id < 0")
+    return masking.render_segments(docs, masking.resolve(found.where("doc_id < 0")))
+
+
+def _paras(docs: DataFrame) -> DataFrame:
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(tx.find_all(F.col("text"), r"[^\n]+")).alias("para", "m"))
+    return lines.select("doc_id", "para", F.col("m.start").alias("p_start"), F.col("m.end").alias("p_end"))
+
+
+def pii_paragraph_masked(spark, sf_dir):
+    docs, found = _candidates(spark, sf_dir)
+    return masking.masked_paragraphs(docs, _paras(docs), masking.resolve(found))
+
+
+def pii_manual_mask(spark, sf_dir):
+    docs, found = _candidates(spark, sf_dir)
+    manual = docs.where("text IS NOT NULL AND length(text) >= 12").select("doc_id", F.lit(4).alias("span_start"), F.lit(12).alias("span_end"), F.substr("text", F.lit(5), F.lit(8)).alias("text"), F.lit("egen").alias("category"))
+    return masking.resolve(spans.with_manual(found, manual)).select("doc_id", "span_id", "span_start", "span_end", "category", "source")
+
+
+def pii_rejected_filter(spark, sf_dir):
+    _, found = _candidates(spark, sf_dir)
+    kept = masking.resolve(found)
+    rejected = kept.groupBy("doc_id").agg(F.min("span_id").alias("span_id"))
+    return masking.pseudonyms(masking.accepted(kept, rejected)).select("doc_id", "span_id", "replacement")
+
+
+def utterances(spark, sf_dir) -> DataFrame:
+    """Conversations as timed rows: 15 characters a second."""
+    rows = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").select(F.col("conv_id").alias("meeting_id"), F.col("turn").cast("int").alias("idx"), F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    w = Window.partitionBy("meeting_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    chars = F.sum(F.length("text")).over(w)
+    return rows.withColumns({"start": (chars - F.length("text")) / 15.0, "end": chars / 15.0}).withColumn("name", F.initcap("speaker"))
+
+
+def transcript_text(spark, sf_dir):
+    return transcript.as_text(utterances(spark, sf_dir))
+
+
+def transcript_timed(spark, sf_dir):
+    return transcript.as_timed_text(utterances(spark, sf_dir))
+
+
+def transcript_srt(spark, sf_dir):
+    return transcript.as_srt(utterances(spark, sf_dir))
+
+
+def transcript_vtt(spark, sf_dir):
+    return transcript.as_vtt(utterances(spark, sf_dir))
+
+
+def transcript_speaker_groups(spark, sf_dir):
+    return align.speaker_groups(utterances(spark, sf_dir)).select("meeting_id", "idx", "speaker", F.col("grp").cast("long").alias("grp"))
+
+
+def speakers_in_order(spark, sf_dir):
+    return align.speakers(utterances(spark, sf_dir)).select("meeting_id", F.col("ord").cast("long").alias("ord"), "speaker")
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+def turns(spark, sf_dir) -> DataFrame:
+    """Fixed 7-second turns of three voices over each meeting."""
+    ends = utterances(spark, sf_dir).groupBy("meeting_id").agg(F.ceil(F.max("end") / 7).cast("int").alias("n"))
+    each = ends.where("n > 0").select("meeting_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return each.select("meeting_id", (F.col("i") * 7.0).alias("start"), (F.col("i") * 7.0 + 7.0).alias("end"), F.pmod(F.col("i") * F.col("i") + F.col("meeting_id"), F.lit(3)).cast("int").alias("speaker"))
+
+
+def align_dominant_speaker(spark, sf_dir):
+    rows = utterances(spark, sf_dir).select("meeting_id", "idx", "start", "end")
+    return align.dominant_speaker(rows, turns(spark, sf_dir)).select("meeting_id", "idx", "cluster")
+
+
+def align_relabel(spark, sf_dir):
+    rows = utterances(spark, sf_dir).select("meeting_id", "idx", "start", "end")
+    return align.numbered_speakers(align.dominant_speaker(rows, turns(spark, sf_dir))).select("meeting_id", "idx", "speaker")
+
+
+def _two_sources(spark, sf_dir) -> DataFrame:
+    rows = utterances(spark, sf_dir).select("meeting_id", "idx", "start", "end", "text", "speaker")
+    echo = rows.where("speaker = 'assistant' AND idx % 4 = 1").withColumns({"start": F.col("start") + 0.5, "end": F.col("end") + 0.5})
+    return align.merged_timeline(rows.where("speaker = 'user'").unionByName(echo), rows.where("speaker <> 'user'"))
+
+
+def align_merge_timeline(spark, sf_dir):
+    return _two_sources(spark, sf_dir).select("meeting_id", "idx", "speaker", F.round("start", 3).alias("start"))
+
+
+def align_drop_echo(spark, sf_dir):
+    return align.without_echo(_two_sources(spark, sf_dir)).select("meeting_id", "idx", "speaker")
+
+
+def align_active_utterance(spark, sf_dir):
+    rows = utterances(spark, sf_dir)
+    times = rows.select("meeting_id").distinct().select("meeting_id", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("k")).select("meeting_id", (F.col("k") * 6.25).alias("t"))
+    return align.active_at(rows, times)
+
+
+def chunk_count(spark, sf_dir):
+    return chunking.chunks(table(spark, sf_dir, "documents"), 1000).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
+
+
+def job_rows(spark, sf_dir) -> DataFrame:
+    """Orders as jobs: nested actions from line items, folder from region, nation and market segment."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    place = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
+    folders = c.join(F.broadcast(place), c["c_nationkey"] == place["n_nationkey"]).select("c_custkey", "c_name", F.concat_ws("/", "r_name", "n_name", "c_mktsegment").alias("category"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", action_struct().alias("a"))
+    each = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "a"))).alias("s")).select("l_orderkey", F.transform("s", lambda x: x.a).alias("actions"))
+    rows = o.join(folders, o["o_custkey"] == folders["c_custkey"]).join(each, o["o_orderkey"] == each["l_orderkey"], "left")
+    return rows.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), "category", F.col("o_orderdate").cast("date").cast("string").alias("updated_at"), F.col("o_orderstatus").alias("summary"), F.col("o_orderpriority").alias("notes"), "actions", F.col("o_totalprice").alias("price"))
+
+
+def action_struct():
+    return F.struct(F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("text"), (F.col("l_linestatus") == "F").alias("done"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("assignee"), F.col("l_shipdate").cast("date").cast("string").alias("due"))
+
+
+def jobs_listing(spark, sf_dir):
+    return jobs.listing(job_rows(spark, sf_dir)).select("id", "title", "category", "updated_at", F.col("n_actions").cast("long").alias("n_actions"), F.col("n_done").cast("long").alias("n_done"), "has_notes")
+
+
+def jobs_recent_topk(spark, sf_dir):
+    return jobs.recent(job_rows(spark, sf_dir)).select("id", "updated_at")
+
+
+def jobs_search(spark, sf_dir):
+    return jobs.matching(job_rows(spark, sf_dir), "  Urgent ").select("id")
+
+
+def jobs_move_folder(spark, sf_dir):
+    return job_rows(spark, sf_dir).select("id", jobs.moved(F.col("category"), "/ASIA/", "Arkiv/ASIA").alias("category"))
+
+
+def jobs_upsert_category(spark, sf_dir):
+    old = job_rows(spark, sf_dir).select("id", "title", "category")
+    new = old.where("id % 10 = 0").withColumns({"title": F.concat("title", F.lit(" v2")), "category": F.when(F.col("id") % 20 == 0, " ").otherwise("Ny")})
+    return jobs.upserted(old, new)
+
+
+def _actions(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    tasks = p.select(F.col("p_partkey").alias("id"), F.lit("Egna").alias("category"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("text"), (F.col("p_size") % 2 == 0).alias("done"), F.lit(None).cast("string").alias("assignee"), F.lit("snart").alias("due"))
+    return jobs.all_actions(job_rows(spark, sf_dir), tasks)
+
+
+def actions_union(spark, sf_dir):
+    return _actions(spark, sf_dir).select("job_id", F.col("idx").cast("long").alias("idx"), "project", "text", "done", "assignee", "due")
+
+
+def actions_due_state(spark, sf_dir):
+    return _actions(spark, sf_dir).groupBy(jobs.due_state(F.col("due"), F.lit(TODAY).cast("date")).alias("state")).agg(F.count("*").alias("n"))
+
+
+def actions_counts(spark, sf_dir):
+    return jobs.action_counts(_actions(spark, sf_dir), F.lit(TODAY).cast("date"))
+
+
+def actions_filtered(spark, sf_dir):
+    rows = _actions(spark, sf_dir).where((~F.col("done")) & F.startswith("category", F.lit("EUROPE/")) & jobs.due_state(F.col("due"), F.lit(TODAY).cast("date")).isin("today", "soon"))
+    return rows.select("job_id", F.col("idx").cast("long").alias("idx"), "assignee", "due")
+
+
+def actions_grouped(spark, sf_dir):
+    return jobs.grouped_actions(_actions(spark, sf_dir)).select("grp", "n", F.md5("texts").alias("texts_md5"))
+
+
+def folder_ancestors(spark, sf_dir):
+    return job_rows(spark, sf_dir).select("category").distinct().select(F.explode(jobs.ancestors(F.col("category"))).alias("folder")).distinct()
+
+
+def folder_counts(spark, sf_dir):
+    sized = job_rows(spark, sf_dir).select("category", F.floor("price").cast("long").alias("size"))
+    return jobs.folder_rollup(sized, size="size")
+
+
+def folder_has_children(spark, sf_dir):
+    return jobs.folder_tree(folder_ancestors(spark, sf_dir)).select("folder", F.col("depth").cast("long").alias("depth"), "has_children")
+
+
+def folder_pending_diff(spark, sf_dir):
+    pending = spark.createDataFrame([("ASIA",), ("ASIA/JAPAN",), ("Tom",), ("Ny mapp",)], "folder string")
+    return jobs.pending_folders(pending, folder_ancestors(spark, sf_dir))
+
+
+def text_corrections(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(transcript.corrected(F.col("text"), "the=>DE\nof->AV")).alias("text_md5"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Documents with personal data masked."""
+    return pii_masked_text(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{f"pii_{n}_spans": _rule(n) for n in ("personnummer", "epost", "telefon", "ip_adress", "url", "icd10", "lagenhet", "gatuadress", "skolnamn")},
+    **{
+        f.__name__: f
+        for f in (
+            pii_name_spans, pii_name_spans_by_token, pii_resolved, pii_counts, pii_pseudonyms, pii_masked_text, pii_masked_mail_ip, pii_render_segments, pii_paragraph_masked, pii_manual_mask, pii_rejected_filter,
+            transcript_text, transcript_timed, transcript_srt, transcript_vtt, transcript_speaker_groups, speakers_in_order, align_dominant_speaker, align_relabel, align_merge_timeline,
+            align_drop_echo, align_active_utterance, chunk_count, jobs_listing, jobs_recent_topk, jobs_search, jobs_move_folder, jobs_upsert_category, actions_union, actions_due_state,
+            actions_counts, actions_filtered, actions_grouped, folder_ancestors, folder_counts, folder_has_children, folder_pending_diff, text_corrections,
+        )
+    },
+}
+
+from .catalog_sql import ORACLE_SQL  # noqa: E402, F401
