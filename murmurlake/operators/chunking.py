@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Fixed value: the size of a summary's chunk in UTF-8 bytes.
@@ -57,7 +58,7 @@ def generated(rows: DataFrame, generate: Callable[[str, int], str], most: int) -
         for p in parts:
             yield p.assign(answer=[generate(x, most) for x in p["prompt"]])
 
-    return rows.mapInPandas(run, rows.schema.add("answer", "string"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("answer", StringType())]))
 
 
 def summarized(docs: DataFrame, prompt: Callable, generate: Callable[[str, int], str] = stub_generator, most: int = CHUNK_BYTES, final: int = 1024, part: int = 512) -> DataFrame:
