@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions import signal
 from .functions import text as tx
-from .operators import align, chunking, jobs, masking, spans, transcript
+from .operators import align, chunking, gazetteer, jobs, masking, spans, transcript
+from .streaming import live
 
 TODAY = "1998-06-01"
 NAMES = ["Stein", "Leon", "Chen", "Sten", "Anna", "Erik"]
@@ -279,6 +281,49 @@ def text_corrections(spark, sf_dir):
     return docs.select("doc_id", F.md5(transcript.corrected(F.col("text"), "the=>DE\nof->AV")).alias("text_md5"))
 
 
+def _signals(spark, sf_dir) -> DataFrame:
+    """Each user's event values as two signals, of even and odd event ids, in order of the id."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("user_id", F.struct("event_id", (F.col("value") / 100.0).alias("v")).alias("s"), (F.col("event_id") % 2).alias("odd"))
+    part = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("odd") == k, F.col("s")))), lambda x: x.v)
+    return e.groupBy("user_id").agg(part(0).alias("a"), part(1).alias("b"))
+
+
+def signal_levels(spark, sf_dir):
+    return _signals(spark, sf_dir).select("user_id", F.round(signal.rms(F.col("a")), 6).alias("rms"), F.round(signal.peak(F.col("a")), 6).alias("peak"))
+
+
+def signal_mix(spark, sf_dir):
+    mixed = signal.mix(F.col("a"), F.col("b"))
+    return _signals(spark, sf_dir).select("user_id", F.size(mixed).cast("long").alias("n"), F.round(F.aggregate(mixed, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def live_batch_chunks(spark, sf_dir):
+    """Each user's values as a recording of 20 samples a second, cut into content-defined chunks."""
+    rows = _signals(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), F.lit(0.0).alias("start_s"), F.concat("a", "b", F.reverse("a"), F.reverse("b")).alias("samples"), F.lit(20).alias("rate"))
+    return live.batch_chunks(rows).select("source", "start_s", F.size("samples").alias("n_samples"))
+
+
+def json_salvage(spark, sf_dir):
+    answers = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit('Svar: ["'), "n_name", F.lit('", "'), "n_name", F.lit('", "Lund"'), F.when(F.col("n_nationkey") % 2 == 0, "] klart").otherwise(', "Conc')).alias("raw"))
+    return spans.proposals_of(answers)
+
+
+def action_lines(spark, sf_dir):
+    notes = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), F.concat(F.lit("# Plan\n- [ ] Ring "), "r_name", F.lit("\n2. Skriv till "), "r_name", F.lit("\n\n* [x] Klart")).alias("text"))
+    return transcript.action_lines(notes)
+
+
+def gazetteer_clean(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("anna-"), F.translate(F.lower("c_mktsegment"), "0123456789", "")).alias("term"), F.col("c_custkey").cast("string").alias("count"))
+    return gazetteer.clean_terms(rows)
+
+
+def gazetteer_localities(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(" och "), F.lit("By"), F.col("n_nationkey").cast("string")).alias("name"), (F.col("n_nationkey") * 1000).cast("string").alias("population"))
+    towns = table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("term"))
+    return gazetteer.localities(rows, towns, spark.createDataFrame([("By7",)], "term string"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data masked."""
     return pii_masked_text(spark, sf_dir)
@@ -293,6 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             transcript_text, transcript_timed, transcript_srt, transcript_vtt, transcript_speaker_groups, speakers_in_order, align_dominant_speaker, align_relabel, align_merge_timeline,
             align_drop_echo, align_active_utterance, chunk_count, jobs_listing, jobs_recent_topk, jobs_search, jobs_move_folder, jobs_upsert_category, actions_union, actions_due_state,
             actions_counts, actions_filtered, actions_grouped, folder_ancestors, folder_counts, folder_has_children, folder_pending_diff, text_corrections,
+            signal_levels, signal_mix, live_batch_chunks, json_salvage, action_lines, gazetteer_clean, gazetteer_localities,
         )
     },
 }
