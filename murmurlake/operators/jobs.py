@@ -112,3 +112,51 @@ def folder_tree(folders: DataFrame) -> DataFrame:
 
 def pending_folders(pending: DataFrame, real: DataFrame) -> DataFrame:
     return pending.select("folder").join(real.select("folder"), "folder", "left_anti").distinct()
+
+
+def due_key(done: Column, due: Column) -> Column:
+    """Sorts open before done, dated before undated, dates ascending."""
+    t = F.coalesce(F.trim(due), F.lit(""))
+    return F.concat(F.when(done, "1").otherwise("0"), F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(F.lit("1"), t)).otherwise("2"))
+
+
+def sorted_actions(actions: DataFrame, by: str = "due") -> DataFrame:
+    """By due date then project, by project then due date (both in Swedish order), or newest first; ids break ties."""
+    due, project = due_key(F.col("done"), F.col("due")), F.collate("project", "sv")
+    keys = {"due": (due, project), "project": (project, due), "updated": (F.col("updated_at").desc_nulls_last(),)}[by]
+    return actions.orderBy(*keys, "job_id", "idx")
+
+
+def assignees(actions: DataFrame) -> DataFrame:
+    """(assignee): trimmed, not blank, distinct, in Swedish order."""
+    return actions.select(F.trim("assignee").alias("assignee")).where("assignee <> ''").distinct().orderBy(F.collate("assignee", "sv"))
+
+
+def visible_folders(tree: DataFrame, expanded: list[str]) -> DataFrame:
+    """Rows of folder_tree whose ancestors are all expanded."""
+    above = F.transform(F.sequence(F.lit(1), F.col("depth")), lambda i: F.array_join(F.slice(F.split("folder", "/"), 1, i), "/"))
+    open_ = F.array(*[F.lit(e) for e in expanded]).cast("array<string>")
+    return tree.where(F.forall(F.slice(above, 1, F.col("depth") - 1), lambda a: F.array_contains(open_, a)))
+
+
+def finished_meetings(done: DataFrame, stored: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """done (id, transcript, audio_path) with the workspace of the stored job, or, if none is stored, of the snapshot.
+
+    A whole row is chosen, so that a field cleared in the stored job stays cleared. Meetings with neither are left out.
+    """
+    fields = [c for c in stored.columns if c not in ("id", "transcript", "audio_path")]
+    pack = lambda df, name: df.select("id", F.struct(*fields, F.col("audio_path").alias("_a")).alias(name))
+    rows = done.join(pack(stored, "s"), "id", "left").join(pack(snapshots, "n"), "id", "left").withColumn("w", F.coalesce("s", "n")).where("w IS NOT NULL")
+    return rows.select("id", "transcript", F.coalesce("audio_path", "w._a").alias("audio_path"), *[F.col(f"w.{c}").alias(c) for c in fields])
+
+
+def unique_name(taken: set[str], base: str = "Ny mapp") -> str:
+    """base, or base and the first free number from 2."""
+    name, n = base, 2
+    while name in taken:
+        name, n = f"{base} {n}", n + 1
+    return name
+
+
+def summary_text(summary: Column, transcript: Column | None = None) -> Column:
+    return summary if transcript is None else F.concat(summary, F.lit("\n\n## Transkript\n\n"), transcript)
