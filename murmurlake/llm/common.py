@@ -44,6 +44,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Whole texts go to Python in Arrow batches of at most `rows` rows where the session has Spark's default of 10,000.
+
+    Batches of long texts are what a worker's memory goes to; workers are reused and keep the most that they ever held.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def guarded_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 50_000) -> DataFrame:
     """Broadcast `small` only when its counted rows stay within max_rows; beyond that a shuffled join that AQE can split.
 
@@ -57,7 +67,7 @@ def guarded_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bounded number of short ones."""
 
-    def __init__(self, seed: int = 0, most: int = 300_000):
+    def __init__(self, seed: int = 0, most: int = 200_000):
         super().__init__()
         self.seed, self.most = seed, most
 

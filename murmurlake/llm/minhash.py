@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WordHashes, gram_hashes, guarded_join, mix64, text_bytes, written
+from .common import NULL_ID, WordHashes, gram_hashes, guarded_join, mix64, small_batches, text_bytes, written
 from .components import components
 
 _ROUND = np.uint64(55)
@@ -182,6 +182,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
 
     A pair of similarity 0.8 shares no band of 40 x 6 with a probability of 5e-6; no bucket is capped.
     """
+    small_batches(docs.sparkSession)
     num, den = similarity
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes().alias("b"))
     seen = written(sketched(base, k, bands, rows))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick, text_bytes, written
+from .common import pick, small_batches, text_bytes, written
 
 PIECES = "piece int, start long, length long, ids binary"
 
@@ -31,7 +31,7 @@ class WordIds:
     words are encoded together in one text; each pre-token ends in the one token that carries the end-of-word suffix.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.t, self.most, self.known = Tokenizer.from_file(path), most, {}
@@ -111,6 +111,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     rows give repeated pieces. The tokenizer must drop white space (see WordIds).
     """
     width = 4 * capacity
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = word_ids(tokenizer), int(end_id).to_bytes(4, "little")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WordHashes, gram_hashes, guarded_join, mix64, text_bytes, written
+from .common import NULL_ID, WordHashes, gram_hashes, guarded_join, mix64, small_batches, text_bytes, written
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -181,6 +181,7 @@ def without_repeats(docs: DataFrame, window: int = 50, k: int = 8, most_paths: i
     all others. Nothing is capped: any number of documents may share a window. Columns named in carry are kept, and with them
     `cleaned`: the text as it was where no word went, else the kept words. solver finds the owners of a group's windows.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes(f"`{text_col}`").alias("b"))
     runs = written(suffix_runs(base, window, k))
     groups = runs.groupBy("prefix").agg(F.min("id").alias("d0"), F.max("id").alias("d1")).where("d0 < d1").select("prefix")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import pick, small_batches, written
 
 #: Insults that count even without labelled examples, and phrases in which such words are harmless.
 INSULTS = ("idiot", "moron", "stupid", "scum", "worthless", "pathetic", "disgusting", "loser", "imbecile", "dumbass")
@@ -186,6 +186,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, mo
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, the columns `keep`, score, predicted) for each row, from its whole text; null text is scored as an empty one."""
+    small_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
