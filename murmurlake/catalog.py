@@ -93,8 +93,7 @@ def pii_masked_mail_ip(spark, sf_dir):
 
 def pii_render_segments(spark, sf_dir):
     docs, found = _candidates(spark, sf_dir)
-    docs = docs.where("doc_id < 0")
-    return masking.render_segments(docs, masking.resolve(found.where("doc_id < 0")))
+    return masking.render_segments(docs, masking.resolve(found))
 
 
 def _paras(docs: DataFrame) -> DataFrame:
