@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon's score marks as toxic go. The lexicon is learned from the labelled rows of these documents."""
-    lexicon = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    lexicon = toxicity.learn(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     return pick(toxicity.score_texts(docs, lexicon, keep=COLUMNS).where("predicted = 0"), *COLUMNS)
 
 

@@ -47,7 +47,7 @@ def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    lexicon = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    lexicon = toxicity.learn(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     return toxicity.score_texts(docs, lexicon, threshold=0.3).withColumn("held_out", F.coalesce(toxicity.held_out(), F.lit(False))).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -88,11 +88,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def learn_terms(rows: list[tuple[str, int]], least: int = 3, most: int = 400) -> dict[str, float]:
+def learn_terms(rows: list[tuple[str, int]], least: int = 3, most: int = 400, clean_weight: float = 1.0) -> dict[str, float]:
     """Words, and beginnings of at least four letters with three different endings, that toxic rows have and others hardly.
 
     A term needs `least` toxic rows, at most half as many clean ones and a log-odds of 2.5. Terms are taken by the number of
     toxic rows that no earlier term covers, less its clean rows twice; then words that no clean row has, by their odds.
+    clean_weight: how many toxic rows of the sample a clean one stands beside, where the two were sampled at different rates.
     """
     tox, clean, ends = Counter(), Counter(), {}
     cover: dict[str, set[int]] = {}
@@ -117,8 +118,8 @@ def learn_terms(rows: list[tuple[str, int]], least: int = 3, most: int = 400) ->
                 cover.setdefault(t, set()).add(i)
     n_clean = max(1, len(rows) - n_tox)
     odds = {t: float(np.log((n + 0.5) / (n_tox + 1)) - np.log((clean[t] + 0.5) / (n_clean + 1))) for t, n in tox.items() if n >= least and (t[-1] == " " or len(ends[t]) >= 3)}
-    good = {t: o for t, o in odds.items() if o >= 2.5 and 2 * clean[t] <= tox[t]}
-    gain = lambda t: len(cover[t] - done) - 2 * clean[t]
+    good = {t: o for t, o in odds.items() if o >= 2.5 and 2 * clean_weight * clean[t] <= tox[t]}
+    gain = lambda t: len(cover[t] - done) - 2 * clean_weight * clean[t]
     done: set[int] = set()
     queue = [(-gain(t), t[-1] == " ", -len(t), t) for t in good]
     heapq.heapify(queue)
@@ -147,20 +148,26 @@ def learn_phrases(rows: list[tuple[str, int]], terms: dict[str, float], least: i
     return sorted(p for p, n in clean.items() if n >= least and not tox[p])
 
 
-def learn(rows: list[tuple[str, int]]) -> Lexicon:
-    """A lexicon and its curve from (text, label) rows. Without rows of both labels: the fixed list under a fixed curve."""
+def learn(rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)) -> Lexicon:
+    """A lexicon and its curve from (text, label) rows. Without rows of both labels: the fixed list under a fixed curve.
+
+    weights: for how many labelled rows a clean and a toxic row of a sample stand, so that the curve and the choice of terms
+    see the true ratio of the classes whatever was sampled.
+    """
     terms = {f" {w} ": 5.0 for w in INSULTS}
     if len({y for _, y in rows}) < 2:
         return Lexicon(terms, EXCEPTIONS, (-3.0, 3.0, 0.5))
-    terms |= learn_terms(rows)
+    terms |= learn_terms(rows, clean_weight=weights[0] / weights[1])
     lex = Lexicon(terms, (*EXCEPTIONS, *learn_phrases(rows, terms)), (0.0, 0.0, 0.0))
     a = lex.automaton()
     x = np.array([(1.0, *lex.features(t, a)) for t, _ in rows])
     y = np.array([float(v) for _, v in rows])
+    each = np.where(y > 0, weights[1], weights[0])
+    each *= len(each) / each.sum()  # the ridge weighs as much as in an unweighted sample
     w = np.zeros(3)
     for _ in range(60):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (y - p) - 0.05 * w)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (each * (y - p)) - 0.05 * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -168,8 +175,9 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     return lex
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 2500) -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 2500) -> tuple[list[tuple[str, int]], tuple[float, float]]:
     """A bounded sample of labelled, not held-out rows: at most most_toxic and most_clean ids, in order of a hash of the id.
+    With it the weights (clean, toxic): labelled ids of the class over sampled ones.
 
     The ids are chosen from labels alone; only their texts come to the driver. Ids with conflicting labels count as toxic.
     """
@@ -178,10 +186,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, mo
     marks = written(marks.join(pick(docs, "doc_id"), "doc_id", "left_semi"))
     ids = [(r.doc_id, y) for y, n in ((1, most_toxic), (0, most_clean)) for r in marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
     if not ids:
-        return []
+        return [], (1.0, 1.0)
+    known, got = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}, Counter(y for _, y in ids)
+    weights = tuple(known[y] / got[y] if got[y] else 1.0 for y in (0, 1))
     wanted = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id").select("doc_id", "text", "toxic").collect()
-    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))], weights
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
