@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmurlake.llm import minhash, mixing, packing, substring_tree, toxicity
-from murmurlake.llm.common import NULL_ID, guarded_join, pick, written
+from murmurlake.llm.common import WORD_RE, guarded_join, pick, written
 from murmurlake.llm.queries import table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,14 +23,32 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8) the smallest doc_id stays; of rows that repeat it, the least."""
-    found = written(minhash.near_duplicates(docs, k=5).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "kept"))
-    gone = found.where("not kept").select("key").distinct()
-    keyed = pick(docs, *COLUMNS).withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
-    left = guarded_join(keyed, written(gone), ["key"], "left_anti", max_rows=200_000).drop("key")
-    if found.where("kept").groupBy("key").count().where("count > 1").isEmpty():
-        return left
-    return left.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
+    """Of each group of near copies (five words, similarity 0.8) one row stays: that of the smallest doc_id, null before all.
+
+    Nodes are hashes of (doc_id, text), so rows that share an id, or have none, are judged each by its own text; of rows that
+    repeat both, one stays. Rows without words resemble nothing and all stay.
+    """
+    rows = pick(docs, *COLUMNS).withColumn("node", F.xxhash64("doc_id", "text"))
+    again = written(rows.where(F.coalesce("text", F.lit("")).rlike(WORD_RE)).groupBy("node").count().where("count > 1").select("node"))
+    texts = rows.select("node", "text")
+    if not again.isEmpty():  # a node is to be one row below
+        repeated = guarded_join(texts, again, ["node"], "left_semi", max_rows=200_000).dropDuplicates(["node"])
+        texts = guarded_join(texts, again, ["node"], "left_anti", max_rows=200_000).unionByName(repeated)
+    found = written(minhash.near_duplicates(texts, k=5, id_col="node").where("n_shingles > 0").select("node", "component_id"))
+    many = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = written(found.join(many, "component_id", "left_semi").unionByName(found.join(again, "node", "left_semi")).select("node", "component_id").distinct())
+
+    order = ("doc_id", "lang", "source", "n_chars", "node")
+    alike = guarded_join(rows.drop("text"), members, ["node"], max_rows=200_000).groupBy("component_id", *order).agg(F.count("*").alias("copies"))
+    stays = alike.groupBy("component_id").agg(F.min(F.struct(*order, "copies")).alias("first")).select(F.col("first.node").alias("node"), "first")
+    marks = written(members.join(stays, "node", "left").select("node", "first"))
+    own = F.struct(*order[:-1]).eqNullSafe(F.struct(*[F.col(f"first.{c}") for c in order[:-1]]))
+    left = guarded_join(rows, marks.withColumn("grouped", F.lit(True)), ["node"], "left", max_rows=200_000).where(F.col("grouped").isNull() | F.col("first").isNotNull() & own)
+    single = F.coalesce(F.col("first.copies"), F.lit(1)) == 1
+    out = pick(left.where(single), *COLUMNS)
+    if marks.where("first.copies > 1").isEmpty():
+        return out
+    return out.unionByName(pick(left.where(~single).dropDuplicates(["node"]), *COLUMNS))
 
 
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
