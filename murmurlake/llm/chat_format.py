@@ -58,6 +58,8 @@ LAYOUTS = (
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 OPEN, CLOSE = "### ", "</turn>\n"
+#: Bytes from which a record that does not parse stops the job. A variant holds 128 MB, and no text becomes 16 times as long.
+LARGE = 8 << 20
 _CODES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"), (":", "\\c"))
 
 
@@ -82,21 +84,32 @@ def shape_of(v: Column) -> Column:
     return F.regexp_replace(s, r": (?!OBJECT<|ARRAY<)[A-Z_]+", "")
 
 
+def _role(c: Column) -> Column:
+    names = F.create_map(*[F.lit(y) for kv in ROLE_NAMES.items() for y in kv])
+    return F.coalesce(names[F.coalesce(c, F.lit(""))], c, F.lit(""))
+
+
+def _parts(role: Column, text: Column) -> list[Column]:
+    """Of a turn: what stands before its text, the escaped text, whether that is a target."""
+    return [F.concat(F.lit(OPEN), escaped(role), F.lit(": ")).alias("head"), escaped(text).alias("body"), (role == "assistant").alias("target")]
+
+
 def canonical_turns(df: DataFrame, record: str = "record") -> DataFrame:
     """df with `fingerprint` (64-bit hash of field paths, null for no JSON), `layout` and `turns`.
 
     Null roles and texts become empty; known other names of the roles become user and assistant. A record of no known
     layout, or that is no JSON, or null, keeps its row with null layout and turns. Empty lists of turns have no element
-    to take paths from and count as unknown.
+    to take paths from and count as unknown. A record of more than LARGE bytes that does not parse, as one beyond the size
+    of a variant, is an error: it would be lost without a word otherwise.
     """
-    v = F.try_parse_json(F.col(f"`{record}`"))
+    text = F.col(f"`{record}`")
+    v = F.when(F.octet_length(text) > LARGE, F.parse_json(text)).otherwise(F.try_parse_json(text))
     df = df.withColumn("v", v).withColumn("fingerprint", F.xxhash64(shape_of(F.col("v")))).withColumn("fingerprint", F.when(F.col("v").isNotNull(), F.col("fingerprint")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in reversed(LAYOUTS):
         hit = F.col("fingerprint") == F.xxhash64(F.lit(x.shape))
         layout, turns = F.when(hit, F.lit(x.name)).otherwise(layout), F.when(hit, F.expr(x.turns).cast(TURNS)).otherwise(turns)
-    names = F.create_map(*[F.lit(y) for kv in ROLE_NAMES.items() for y in kv])
-    clean = F.transform("turns", lambda x: F.struct(F.coalesce(names[F.coalesce(x.role, F.lit(""))], x.role, F.lit("")).alias("role"), F.coalesce(x.text, F.lit("")).alias("text")))
+    clean = F.transform("turns", lambda x: F.struct(_role(x.role).alias("role"), F.coalesce(x.text, F.lit("")).alias("text")))
     return df.withColumns({"layout": layout, "turns": turns}).withColumn("turns", clean).drop("v")
 
 
@@ -108,8 +121,11 @@ def format_chats(df: DataFrame, record: str = "record") -> DataFrame:
     0 for other roles) are. No turns give an empty string. One record is one row and must fit in a task's memory.
     """
     df = canonical_turns(df, record)
-    parts = F.transform("turns", lambda x: F.struct(F.concat(F.lit(OPEN), escaped(x.role), F.lit(": ")).alias("head"), escaped(x.text).alias("body"), (x.role == "assistant").alias("target")))
-    df = df.withColumn("parts", parts)
+    return _joined(df.withColumn("parts", F.transform("turns", lambda x: F.struct(*_parts(x.role, x.text)))))
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    """`formatted` and `loss_runs` from `parts`."""
     whole = F.array_join(F.transform("parts", lambda p: F.concat(p.head, p.body, F.lit(CLOSE))), "")
     runs = F.transform("parts", lambda p: F.struct(F.length(p.head).alias("skip"), F.when(p.target, F.length(p.body)).otherwise(0).alias("take")))
     return df.withColumns({"formatted": whole, "loss_runs": runs}).drop("parts")
@@ -125,6 +141,19 @@ def read_back(df: DataFrame) -> DataFrame:
     return df.withColumns({"read_turns": F.transform("pieces", turn), "loss_text": F.array_join(F.transform(loss, unescaped), "")}).drop("pieces")
 
 
+def format_rows(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) rows, one for each turn, as format_chats gives records_of_rows, without `record` and `turns`.
+
+    The layout is declared and no JSON or variant is made, so a conversation may be as long as a string can (2 GB); a longer
+    one is an error. Turns are formatted row by row and then joined in order of (turn, role, text).
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    turn = F.struct(F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"), *_parts(_role(role), text))
+    layout = next(x for x in LAYOUTS if x.name == "turn rows")
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("parts"))
+    return _joined(grouped.withColumns({"fingerprint": F.xxhash64(F.lit(layout.shape)), "layout": F.lit(layout.name)}))
+
+
 def records_of_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) rows as one JSON record for each conv_id, its turns in order of (turn, role, text)."""
     turn = F.struct(F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -60,8 +60,7 @@ def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
     planted = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
-    records = chat_format.records_of_rows(rows.unionByName(planted))
-    done = chat_format.read_back(chat_format.format_chats(records))
+    done = chat_format.read_back(chat_format.format_rows(rows.unionByName(planted)))
     said = F.array_join(F.transform("read_turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return done.select(
         "conv_id",
