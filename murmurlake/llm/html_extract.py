@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ _RAW = frozenset("script style textarea title noscript template iframe svg math
 _ASIDE = frozenset("nav footer aside form dialog menu button".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody thead tfoot tr ul caption".split())
+#: Elements that hold the blocks of one text together.
+_HOLDERS = frozenset("blockquote body center details div fieldset html section table".split())
 _ROOT = frozenset("html body main article".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of class and id names, and roles, of what surrounds an article.
@@ -46,10 +49,12 @@ def _marked(attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str, by_name: bool = True) -> tuple[list[tuple[str, bool]], bool]:
-    """(line, inside an article) for each block in page order, ("", False) where something was left out; whether there is an article."""
-    lines: list[tuple[str, bool]] = []
+def lines_of(page: str, by_name: bool = True) -> tuple[list[tuple[str, bool, int]], bool]:
+    """(line, inside an article, container) for each block in page order, ("", False, 0) where something was left out; whether
+    there is an article. The container is the innermost holder element that has further lines in it."""
+    lines: list[tuple[str, bool, int]] = []
     text: list[str] = []
+    parents, held, opened = [0], [("", 0)], Counter()
     linked = inside = pos = 0
     has_article = in_link = False
     skip, depth, until = "", 0, 0
@@ -61,7 +66,7 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[tuple[str, bool]], b
             words = entities.unescape(raw).split()
             if words:
                 mostly_links = linked > 0.8 * len(raw.strip()) and not inside
-                lines.append(("", False) if mostly_links else (" ".join(words), inside > 0))
+                lines.append(("", False, 0) if mostly_links else (" ".join(words), inside > 0, held[-1][1]))
             text.clear()
         linked = 0
 
@@ -107,33 +112,53 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[tuple[str, bool]], b
         if name in ("article", "main"):
             has_article = True
             inside = max(0, inside + (-1 if closing else 1))
-            lines.append(("", False))
+            lines.append(("", False, 0))
         elif not closing and name not in _VOID and name not in _ROOT and name not in _HEADING and (name in _ASIDE or name == "header" and not inside or by_name and _marked(attrs, inside > 0)):
             end()
-            lines.append(("", False))
+            lines.append(("", False, 0))
             skip, depth = ("", 0) if attrs.endswith("/") else (name, 1)
+            continue
+        if name in _HOLDERS and not closing and not attrs.endswith("/"):
+            parents.append(held[-1][1])
+            held.append((name, len(parents) - 1))
+            opened[name] += 1
+        elif name in _HOLDERS and closing and opened[name]:
+            last = ""
+            while last != name:
+                last, _ = held.pop()
+                opened[last] -= 1
     end()
-    return lines, has_article
+    within = Counter(c for x, _, c in lines if x)
+    for c in range(len(parents) - 1, 0, -1):
+        within[parents[c]] += within[c]
+
+    def shared(c: int) -> int:
+        while c and within[c] == 1:
+            c = parents[c]
+        return c
+
+    return [(x, i, shared(c) if x else 0) for x, i, c in lines], has_article
 
 
-def main_text(page: str | None, window: int = 3, least: int = 80, share: float = 0.2) -> str:
+def main_text(page: str | None, window: int = 3, least: int = 80) -> str:
     """The article's blocks joined by two line ends; empty if there is none.
 
     Between two left-out parts stand `window` blank lines, so that the window sum falls to nothing there. Inside an article
-    element every line that rises above nothing counts, outside one a surge needs `least` characters and a stretch between
-    surge and dive is kept if it has at least `share` of the longest stretch's characters.
+    element every line that rises above nothing counts, outside one a surge needs `least` characters. Every stretch between
+    surge and dive is kept, however long others are, and so are further lines of the containers that its lines stand in: a
+    left-out part inside a text does not end the text.
     """
     if not page:
         return ""
     lines, has_article = lines_of(page)
-    if not any(x for x, _ in lines):
+    if not any(x for x, *_ in lines):
         lines, has_article = lines_of(page, by_name=False)
-    if has_article and any(x and i for x, i in lines):
-        lines, least, share = [(x if i else "", i) for x, i in lines], 1, 0.0
-    spread: list[str] = []
-    for x, _ in lines:
-        spread += [x] if x else [""] * window
-    lengths = [len(x) for x in spread] + [0] * window
+    if has_article and any(x and i for x, i, _ in lines):
+        lines, least = [(x if i else "", i, c) for x, i, c in lines], 1
+    spread: list[tuple[str, int]] = []
+    for x, _, c in lines:
+        spread += [(x, c)] if x else [("", 0)] * window
+    lengths = [len(x) for x, _ in spread] + [0] * window
     stretches, open_at = [], -1
     total = sum(lengths[:window])
     for i in range(len(spread)):
@@ -145,9 +170,9 @@ def main_text(page: str | None, window: int = 3, least: int = 80, share: float =
         total += lengths[i + window] - lengths[i] if i + window < len(lengths) else -lengths[i]
     if open_at >= 0:
         stretches.append((open_at, len(spread)))
-    sizes = [sum(lengths[a:b]) for a, b in stretches]
-    keep = [x for (a, b), s in zip(stretches, sizes, strict=True) if s >= share * max(sizes) for x in spread[a:b] if x]
-    return "\n\n".join(keep)
+    dense = {i for a, b in stretches for i in range(a, b)}
+    texts = {c for i, (x, c) in enumerate(spread) if x and i in dense}
+    return "\n\n".join(x for i, (x, c) in enumerate(spread) if x and (i in dense or c in texts))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
