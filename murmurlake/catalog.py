@@ -52,7 +52,7 @@ def _rule(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = texts(spark, sf_dir)
-    return docs, spans.all_rules(docs).unionByName(spans.term_spans(docs, NAMES, "person", ignore_case=False, score=0.5, ord_=22))
+    return docs, spans.all_rules(docs).unionByName(spans.listed_spans(docs))
 
 
 def pii_name_spans(spark, sf_dir):
@@ -65,6 +65,11 @@ def pii_name_spans_by_token(spark, sf_dir):
     return spans.token_term_spans(texts(spark, sf_dir), terms, "person", 0.5).select("doc_id", "span_start", "span_end", "text")
 
 
+def pii_place_spans(spark, sf_dir):
+    places = tuple(x for x in spans.TERM_LISTS if x.category == "plats")
+    return spans.listed_spans(texts(spark, sf_dir), places).select("doc_id", "span_start", "span_end", "text")
+
+
 def pii_resolved(spark, sf_dir):
     _, found = _candidates(spark, sf_dir)
     return masking.resolve(found).select("doc_id", "span_id", "span_start", "span_end", "text", "category", "source")
@@ -333,7 +338,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{
         f.__name__: f
         for f in (
-            pii_name_spans, pii_name_spans_by_token, pii_resolved, pii_counts, pii_pseudonyms, pii_masked_text, pii_masked_mail_ip, pii_render_segments, pii_paragraph_masked, pii_manual_mask, pii_rejected_filter,
+            pii_name_spans, pii_name_spans_by_token, pii_place_spans, pii_resolved, pii_counts, pii_pseudonyms, pii_masked_text, pii_masked_mail_ip, pii_render_segments, pii_paragraph_masked, pii_manual_mask, pii_rejected_filter,
             transcript_text, transcript_timed, transcript_srt, transcript_vtt, transcript_speaker_groups, speakers_in_order, align_dominant_speaker, align_relabel, align_merge_timeline,
             align_drop_echo, align_active_utterance, chunk_count, jobs_listing, jobs_recent_topk, jobs_search, jobs_move_folder, jobs_upsert_category, actions_union, actions_due_state,
             actions_counts, actions_filtered, actions_grouped, folder_ancestors, folder_counts, folder_has_children, folder_pending_diff, text_corrections,

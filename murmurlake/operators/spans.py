@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,6 +157,59 @@ def token_term_spans(docs: DataFrame, terms: DataFrame, category: str, score: fl
     )
 
 
+@dataclass(frozen=True)
+class TermList:
+    """A list of murmurlake/data; ASCII case counts unless ignore_case."""
+
+    name: str
+    category: str
+    ignore_case: bool = False
+    score: float = 1.0
+    ord_: int = TERM_ORD
+
+    def terms(self) -> list[str]:
+        lines = (Path(__file__).parents[1] / "data" / f"{self.name}.txt").read_text("utf-8").splitlines()
+        return sorted({x.strip() for x in lines if x.strip() and not x.strip().startswith("#")})
+
+
+#: In the order in which they are emitted. The list of school names is not at hand.
+TERM_LISTS = (
+    TermList("diagnoser", "diagnos", ignore_case=True), TermList("diagnoser_akronymer", "diagnos"), TermList("mediciner", "medicin", ignore_case=True, ord_=21),
+    TermList("fornamn", "person", score=0.5, ord_=22), TermList("efternamn", "person", score=0.5, ord_=22), TermList("kommuner", "plats", ord_=23), TermList("ortnamn", "plats", ord_=23),
+)
+
+
+def _ascii_lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def listed_spans(docs: DataFrame, lists: tuple[TermList, ...] = TERM_LISTS) -> DataFrame:
+    """Whole-word occurrences of all terms of the lists, leftmost and longest first within a list; one range of a category once.
+
+    An equi-join of the texts' distinct words with the terms' first words; only terms whose first word a text has are located
+    in it. A term may have several words.
+    """
+    rows = [(t, x.name, x.category, x.ignore_case, float(x.score), x.ord_) for x in lists for t in x.terms()]
+    terms = docs.sparkSession.createDataFrame(rows, "term string, listed string, category string, fold boolean, score double, detector_ord int")
+    terms = terms.withColumn("term", F.when(F.col("fold"), _ascii_lower(F.col("term"))).otherwise(F.col("term"))).withColumn("key", F.regexp_extract("term", f"^{ALNUM}+", 0)).distinct()
+    own = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ALNUM}+)")))
+    words = docs.select("doc_id", F.explode(own).alias("key")).withColumn("fold", F.explode(F.array(F.lit(False), F.lit(True))))
+    words = words.withColumn("key", F.when(F.col("fold"), _ascii_lower(F.col("key"))).otherwise(F.col("key")))
+    term = F.struct("term", "listed", "category", "fold", "score", "detector_ord")
+    hits = words.join(F.broadcast(terms), ["key", "fold"]).groupBy("doc_id").agg(F.collect_set(term).alias("terms"))
+    found = docs.join(hits, "doc_id").select("doc_id", F.col("text").alias("whole"), F.explode("terms").alias("t")).select("doc_id", "whole", "t.*")
+    gaps = F.split(F.when(F.col("fold"), _ascii_lower(F.col("whole"))).otherwise(F.col("whole")), F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E")), -1)
+    found = found.withColumn("gaps", gaps).where(F.size("gaps") > 1).select("*", F.posexplode(F.slice(running_lengths(F.col("gaps")), F.lit(2), F.size("gaps"))).alias("emit_ord", "gap"))
+    start = (F.col("gap") + F.col("emit_ord") * F.length("term")).cast("int")
+    found = found.withColumn("span_start", start).withColumn("span_end", F.col("span_start") + F.length("term"))
+    found = found.where(free_before(F.col("whole"), F.col("span_start")) & free_after(F.col("whole"), F.col("span_end")))
+    found = found.withColumn("text", F.substr("whole", F.col("span_start") + 1, F.length("term"))).drop("whole", "gaps")
+    before = Window.partitionBy("doc_id", "listed").orderBy("span_start", F.col("span_end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("reach", F.max("span_end").over(before)).where("reach IS NULL OR reach <= span_start")
+    once = found.groupBy("doc_id", "span_start", "span_end", "text", "category", F.col("score").cast("float").alias("score"), "detector_ord").agg(F.min("emit_ord").alias("emit_ord"))
+    return once.withColumn("source", F.lit("dictionary")).select(*COLUMNS)
+
+
 def same_range_once(spans: DataFrame) -> DataFrame:
     """Of spans with one range the first by detector and emission."""
     w = Window.partitionBy("doc_id", "span_start", "span_end").orderBy("detector_ord", "emit_ord")

@@ -9,7 +9,7 @@ from ..operators import masking, spans
 
 def deidentified(docs: DataFrame, terms: list[str] | None = None, enabled: set[str] | None = None, rejected: DataFrame | None = None) -> DataFrame:
     """(doc_id, masked_text, n_spans) of (doc_id, text). terms: own words to mask, whatever their case."""
-    found = spans.all_rules(docs, enabled)
+    found = spans.all_rules(docs, enabled).unionByName(spans.listed_spans(docs))
     if terms:
         found = found.unionByName(spans.term_spans(docs, terms, "egen", ignore_case=True, ord_=30))
     kept = masking.resolve(found, enabled)

@@ -1,4 +1,6 @@
 from murmurlake import catalog
+from murmurlake.operators import spans
+from murmurlake.plans import deidentify
 
 
 def small_documents(spark, folder):
@@ -13,3 +15,29 @@ def test_segments_of_every_document(spark, tmp_path):
     for r in catalog.pii_render_segments(spark, str(tmp_path)).collect():
         got.setdefault(r.doc_id, []).append((r.seg_start, r.text))
     assert {i: "".join(t for _, t in sorted(x)) for i, x in got.items()} == {i: t for i, t in texts.items() if t}
+
+
+TEXT = "Erik Andersson i Upplands Väsby har adhd och bipolär sjukdom, fick CONCERTA. Ann-Britt i Malmö, ADD; vi add, erik, Malmöbo, Eriks."
+
+
+def test_lists_find_whole_words(spark):
+    docs = spark.createDataFrame([(1, TEXT), (2, "nothing"), (3, None)], "doc_id long, text string")
+    got = sorted((r.span_start, r.text, r.category) for r in spans.listed_spans(docs).collect())
+    want = [("Erik", "person"), ("Andersson", "person"), ("Upplands Väsby", "plats"), ("adhd", "diagnos"), ("bipolär sjukdom", "diagnos"), ("CONCERTA", "medicin"), ("Ann-Britt", "person"), ("Malmö", "plats"), ("ADD", "diagnos")]
+    assert got == sorted((TEXT.index(t), t, c) for t, c in want)
+
+
+def test_no_chain_of_terms_in_a_list():
+    for x in spans.TERM_LISTS:
+        long = [t.split() for t in x.terms() if " " in t]
+        assert not {t[-1] for t in long} & {t[0] for t in long}
+
+
+def test_listed_terms_are_masked(spark, tmp_path):
+    spark.createDataFrame([(1, TEXT)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    masked = {r.doc_id: r.masked_text for r in catalog.pii_masked_text(spark, str(tmp_path)).collect()}[1]
+    assert masked == "Person 1 Person 2 i Plats 1 har Diagnos 1 och Diagnos 2, fick Medicin 1. Person 3 i Plats 2, Diagnos 3; vi add, erik, Malmöbo, Eriks."
+    direct = deidentify.deidentified(spark.createDataFrame([(1, TEXT)], "doc_id long, text string")).first()
+    assert direct.masked_text == masked
+    places = [r.text for r in catalog.pii_place_spans(spark, str(tmp_path)).collect() if r.doc_id == 1]
+    assert sorted(places) == ["Malmö", "Upplands Väsby"]
