@@ -31,12 +31,14 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = pick(docs, *COLUMNS).withColumn("node", F.xxhash64("doc_id", "text"))
     again = written(rows.where(F.coalesce("text", F.lit("")).rlike(WORD_RE)).groupBy("node").count().where("count > 1").select("node"))
     texts = rows.select("node", "text")
-    if not again.isEmpty():  # a node is to be one row below
+    repeats = not again.isEmpty()
+    if repeats:  # a node is to be one row below
         repeated = guarded_join(texts, again, ["node"], "left_semi", max_rows=200_000).dropDuplicates(["node"])
         texts = guarded_join(texts, again, ["node"], "left_anti", max_rows=200_000).unionByName(repeated)
     found = written(minhash.near_duplicates(texts, k=5, id_col="node").where("n_shingles > 0").select("node", "component_id"))
     many = found.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = written(found.join(many, "component_id", "left_semi").unionByName(found.join(again, "node", "left_semi")).select("node", "component_id").distinct())
+    members = found.join(many, "component_id", "left_semi").select("node", "component_id")
+    members = written(members.union(found.join(again, "node", "left_semi").select("node", "component_id")).distinct() if repeats else members)
 
     order = ("doc_id", "lang", "source", "n_chars", "node")
     alike = guarded_join(rows.drop("text"), members, ["node"], max_rows=200_000).groupBy("component_id", *order).agg(F.count("*").alias("copies"))
@@ -46,7 +48,7 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     left = guarded_join(rows, marks.withColumn("grouped", F.lit(True)), ["node"], "left", max_rows=200_000).where(F.col("grouped").isNull() | F.col("first").isNotNull() & own)
     single = F.coalesce(F.col("first.copies"), F.lit(1)) == 1
     out = pick(left.where(single), *COLUMNS)
-    if marks.where("first.copies > 1").isEmpty():
+    if not repeats:
         return out
     return out.unionByName(pick(left.where(~single).dropDuplicates(["node"]), *COLUMNS))
 

@@ -98,7 +98,8 @@ def learn_terms(rows: list[tuple[str, int]], least: int = 3, most: int = 400, cl
     tox, clean, ends = Counter(), Counter(), {}
     cover: dict[str, set[int]] = {}
     n_tox = max(1, sum(y for _, y in rows))
-    words = [set(folded(t).split()) for t, _ in rows]
+    one: dict[str, str] = {}  # each word is held once
+    words = [{one.setdefault(w, w) for w in folded(t).split()} for t, _ in rows]
     wanted: set[str] = set()
     for ws, (_, y) in zip(words, rows, strict=True):
         if y:
