@@ -54,3 +54,23 @@ def test_bounds_hold():
     near, _ = embedding_dedup.bounds(y, c)
     d = ((x[:, None] - y[None]) ** 2).sum(2)
     assert (lower[:, near] <= d + 1e-9).all()
+
+
+def test_traversal_is_by_rising_sum_and_each_codebook_counts():
+    rng = np.random.default_rng(5)
+    books = rng.normal(size=(9, 4)), rng.normal(size=(7, 4))
+    for v in rng.normal(size=(40, 8)):
+        a, b = (embedding_dedup.bounds(x[None], c)[1][0] for x, c in zip((v[:4], v[4:]), books, strict=True))
+        cells = list(embedding_dedup.multi_sequence(a, b, 0.9))
+        sums = [a[i] + b[j] for i, j in cells]
+        assert sums == sorted(sums) and sorted(cells) == [(i, j) for i in range(9) for j in range(7) if a[i] + b[j] <= 0.9]
+        assert sorted(i * 7 + j for i, j in cells) == embedding_dedup.visited(a, b, 0.9).tolist()
+        for other in (embedding_dedup.multi_sequence(np.zeros(9), b, 0.9), embedding_dedup.multi_sequence(a, np.zeros(7), 0.9)):
+            assert set(cells) < set(other)
+
+
+def test_null_ids_and_clashing_columns(spark):
+    rows = [(None, [1.0, 0.0], 1, "x"), (3, [1.0, 0.01], 1, "y"), (None, [1.0, 0.0], 1, "z"), (7, [0.0, 1.0], 1, "w")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, stretch string")
+    got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df).collect())
+    assert got == [(-1, 1, None, True), (3, 1, None, False), (7, 0, 7, True)]
