@@ -1,17 +1,18 @@
 """Repeated passages by prefix-partitioned suffix trees over words.
 
-The suffixes that matter are those with at least `window` words; whether a window repeats is decided at depth `window` of the
-tree of all suffixes. The tree is never built as a whole:
-
-1. Each suffix goes to a group by a prefix that its window itself selects: the least hash among the window's runs of `k` words.
-   Neighbouring suffixes with the same choice form one run, a path of the tree that is cut only where contents differ.
-2. Groups are counted over all documents. A group that one document alone has cannot repeat. A group with a single path needs
-   no tree: its smallest document owns all its windows.
-3. The other groups are memory-sized subtrees. One copy of each distinct path is sent to its group, and the subtree is built
-   level by level (runs of 1, 2, 4, ... words named by pairs of names, up to the window); its nodes at depth `window` give the
-   smallest document of each window. Groups of more than `most_paths` paths take longer prefixes, in the end whole windows,
-   and are counted by those, so no group has to fit anywhere.
-4. Windows whose smallest document is a smaller one are removed, on words of the whole text.
+Suffixes are truncated at `window` words, for whether a window repeats is decided at that depth of the tree of all suffixes. The
+tree is never built as a whole:
+
+1. Fragments. Neighbouring windows whose least hash of `k` words is the same one are a fragment of the text, about one in twenty
+   words. Equal windows have equal such hashes, so fragments whose hash one document alone has cannot hold a repeat and go. Equal
+   fragments are one; they are the branch of the tree that their documents share, and the least of these keeps it.
+2. Prefixes. The suffixes that begin in the fragments left are counted by their first 8 words. A prefix that one document
+   alone has goes. A prefix with more than `most` suffixes is lengthened to 16, 32, ... words, in the end to the whole window,
+   so that every group either fits in memory or is itself a node at full depth, which takes an aggregate and no list.
+3. Subtrees. A group's suffixes are sorted by the words after their prefix; the depths at which neighbours part are the tree's inner
+   nodes. Below a node of depth `window` or more stand the occurrences of one repeat, of which the smallest document is kept.
+4. Windows whose smallest document is a smaller one are removed, on words of the whole text; windows that touch or overlap give
+   the maximal stretches in `spans`.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,27 +54,24 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(h: np.ndarray, window: int, k: int, powers: Powers) -> tuple[np.ndarray, ...] | None:
-    """(prefix, path, path2, start, length) of the runs of neighbouring windows with the same prefix; none for short texts."""
+    """(selector, path, path2, start, length) of the fragments: runs of windows with one least k-word hash; none for short texts."""
     if len(h) < window:
         return None
-    prefix = sliding_min(mix64(gram_hashes(h, k)), window - k + 1)
-    start = np.concatenate(([0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1))
-    length = np.diff(np.concatenate((start, [len(prefix)])))
+    selector = sliding_min(mix64(gram_hashes(h, k)), window - k + 1)
+    start = np.concatenate(([0], np.flatnonzero(selector[1:] != selector[:-1]) + 1))
+    length = np.diff(np.concatenate((start, [len(selector)])))
     end = start + length + window - 1
     up, down = powers.to(len(h))
     out = []
     for salt in (np.uint64(0x1234567), np.uint64(0x89ABCDEF01)):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h ^ salt) * up[: len(h)], dtype=np.uint64)))
         out.append(mix64((sums[end] - sums[start]) * down[start] + length.astype(np.uint64)))
-    return prefix[start], out[0], out[1], start, length
+    return selector[start], out[0], out[1], start, length
 
 
-def _tag(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text, 9) >> 33
-
-
-def suffix_runs(base: DataFrame, window: int, k: int) -> DataFrame:
-    """(prefix, path, path2, id, tag, start, length) of every run of every row; tag tells rows of one id apart by their text."""
+def fragments(base: DataFrame, window: int, k: int) -> DataFrame:
+    """base (id, tag, b) to (selector, path, path2, id, tag, start, length) of every fragment of every row; path and path2 name its words."""
+    names = ["selector", "path", "path2", "id", "tag", "start", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
@@ -82,21 +79,21 @@ def suffix_runs(base: DataFrame, window: int, k: int) -> DataFrame:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 parts: list[tuple[np.ndarray, ...]] = []
-                for own, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for own, tag, text in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
                     got = runs_of(hashes.of(text.split()), window, k, powers)
                     if got:
                         n = len(got[0])
-                        parts.append((got[0].view(np.int64), got[1].view(np.int64), got[2].view(np.int64), np.full(n, own), np.full(n, _tag(text), np.int32), got[3].astype(np.int32), got[4].astype(np.int32)))
+                        parts.append((*[x.view(np.int64) for x in got[:3]], np.full(n, own), np.full(n, tag), got[3].astype(np.int32), got[4].astype(np.int32)))
                 if parts:
-                    cols = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
-                    yield pa.RecordBatch.from_arrays(cols, ["prefix", "path", "path2", "id", "tag", "start", "length"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
 
-    return base.mapInArrow(run, "prefix long, path long, path2 long, id long, tag int, start int, length int")
+    return base.select("id", "tag", "b").mapInArrow(run, "selector long, path long, path2 long, id long, tag long, start int, length int")
 
 
 def path_words(base: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """wanted (id, tag, start, length, prefix, path, path2) plus `words`, the hashes of the path's words, from the texts."""
-    per_row = wanted.groupBy("id").agg(F.collect_list(F.struct("tag", "start", "length", "prefix", "path", "path2")).alias("runs"))
+    """wanted (id, tag, start, length, path, path2) to (path, path2, id, words), the hashes of the fragment's words, from the texts."""
+    per_row = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "length", "path", "path2")).alias("runs"))
+    once = base.join(per_row, ["id", "tag"]).groupBy("id", "tag").agg(F.first("b").alias("b"), F.first("runs").alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -105,105 +102,178 @@ def path_words(base: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 part = b.slice(lo, 200)
                 rows, parts = [], []
                 for own, text, runs in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
-                    tag, h = _tag(text), None
+                    h = hashes.of(text.split()).view(np.int64)
                     for r in runs:
-                        if r["tag"] == tag:
-                            h = hashes.of(text.split()).view(np.int64) if h is None else h
-                            rows.append((r["prefix"], r["path"], r["path2"], own))
-                            parts.append(h[r["start"] : r["start"] + r["length"] + window - 1])
+                        rows.append((r["path"], r["path2"], own))
+                        parts.append(h[r["start"] : r["start"] + r["length"] + window - 1])
                 if rows:
-                    cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))], ["prefix", "path", "path2", "id", "words"])
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], long_lists(parts)], ["path", "path2", "id", "words"])
 
-    return base.join(per_row, "id").select("id", "b", "runs").mapInArrow(run, "prefix long, path long, path2 long, id long, words array<long>")
+    return once.select("id", "b", "runs").mapInArrow(run, "path long, path2 long, id long, words array<long>")
 
 
-def subtree_owners(ids: np.ndarray, words: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """For each path, the smallest document of each of its windows: the nodes at depth `window` of the paths' suffix tree.
+def long_lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
 
-    Names of runs of 1, 2, 4, ... words are made from pairs of shorter ones (gram_hashes); suffixes with the same name at depth
-    `window` are the leaves below one node.
-    """
-    leaves = [gram_hashes(w.view(np.uint64), window) for w in words]
-    sizes = np.array([len(x) for x in leaves])
-    _, node = np.unique(np.concatenate(leaves), return_inverse=True)
-    least = np.full(node.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, node, np.repeat(ids, sizes))
-    return np.split(least[node], np.cumsum(sizes)[:-1])
 
+def each_list(column: pa.ListArray) -> Iterator[np.ndarray]:
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    for lo, hi in zip(offsets, offsets[1:], strict=False):
+        yield values[lo:hi]
 
-def subtrees(paths: DataFrame, window: int, solver: Callable = subtree_owners, at_once: int = 20_000) -> DataFrame:
-    """paths (prefix, path, path2, id, words) to (path, path2, owners); a prefix's paths are met together, in one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                owners = solver(np.array([x[3] for x in held]), [x[4] for x in held], window)
-                offsets = np.concatenate(([0], np.cumsum([len(o) for o in owners]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(owners)))], ["path", "path2", "owners"])
-                held.clear()
+def prefix_names(paths: DataFrame, window: int, length: int, shorter: int = 0) -> DataFrame:
+    """paths (path, path2, id, words) to (path, path2, id, at, name, before) for each suffix of `window` words or more: the names
+    of its first `length` and first `shorter` words (0 for none)."""
+    names = ["path", "path2", "id", "at", "name", "before"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values, offsets = b.column(4).values.to_numpy(), b.column(4).offsets.to_numpy()
-            for i, row in enumerate(zip(*[b.column(c).to_pylist() for c in range(4)], strict=True)):
-                if len(held) >= at_once and held[-1][0] != row[0]:
-                    yield from flush()
-                held.append((*row, values[offsets[i] : offsets[i + 1]].copy()))
-        yield from flush()
+            parts = []
+            for i, w in enumerate(each_list(b.column(3))):
+                n, h = len(w) - window + 1, w.view(np.uint64)
+                before = gram_hashes(h, shorter)[:n].view(np.int64) if shorter else np.zeros(n, np.int64)
+                parts.append((np.full(n, i), np.arange(n, dtype=np.int32), gram_hashes(h, length)[:n].view(np.int64), before))
+            if parts:
+                row, at, name, before = (np.concatenate(c) for c in zip(*parts, strict=True))
+                keys = [b.column(c).take(pa.array(row)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(at), pa.array(name), pa.array(before)], names)
 
-    return paths.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "path long, path2 long, owners array<long>")
+    return paths.select("path", "path2", "id", "words").mapInArrow(run, "path long, path2 long, id long, at int, name long, before long")
 
 
-def window_names(paths: DataFrame, window: int) -> DataFrame:
-    """paths (path, path2, id, words) to one row (path, path2, id, at, w1, w2) for each window, named by 128 bits."""
+def suffixes(paths: DataFrame, routes: DataFrame, window: int, depth: int) -> DataFrame:
+    """routes (path, path2, at, name) to (name, path, path2, at, id, whole, rest): the words of each suffix after its prefix of `depth`
+    words, 32 bits for each, and a 64-bit name of all its `window` words."""
+    each = routes.groupBy("path", "path2").agg(F.collect_list(F.struct("at", "name")).alias("at"))
+    names = ["name", "path", "path2", "at", "id", "whole", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values, offsets = b.column(3).values.to_numpy().view(np.uint64), b.column(3).offsets.to_numpy()
-            for i, row in enumerate(zip(*[b.column(c).to_pylist() for c in range(3)], strict=True)):
-                w = values[offsets[i] : offsets[i + 1]]
-                w1, w2 = gram_hashes(w, window).view(np.int64), gram_hashes(mix64(w + np.uint64(3)), window).view(np.int64)
-                cols = [pa.array(np.full(len(w1), v)) for v in row]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.arange(len(w1), dtype=np.int32)), pa.array(w1), pa.array(w2)], ["path", "path2", "id", "at", "w1", "w2"])
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                rows, at, group, whole, rest = [], [], [], [], []
+                for i, (w, places) in enumerate(zip(each_list(part.column(3)), part.column(4).to_pylist(), strict=True)):
+                    h = w.view(np.uint64)
+                    a = np.array([p["at"] for p in places])
+                    rows.append(np.full(len(a), i))
+                    at.append(a.astype(np.int32))
+                    group.append(np.array([p["name"] for p in places]))
+                    whole.append(gram_hashes(h, window)[a].view(np.int64))
+                    rest.append((h >> np.uint64(32)).astype(">u4")[a[:, None] + np.arange(depth, window)])
+                if rows:
+                    keys = [part.column(c).take(pa.array(np.concatenate(rows))) for c in range(3)]
+                    size, data = 4 * (window - depth), np.concatenate(rest).tobytes()
+                    offsets = np.arange(0, len(data) + 1, size, dtype=np.int32)
+                    cols = [pa.array(np.concatenate(group)), keys[0], keys[1], pa.array(np.concatenate(at)), keys[2], pa.array(np.concatenate(whole)), pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])]
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
-    return paths.select("path", "path2", "id", "words").mapInArrow(run, "path long, path2 long, id long, at int, w1 long, w2 long")
+    joined = paths.join(each, ["path", "path2"]).select("path", "path2", "id", "words", "at")
+    return joined.mapInArrow(run, "name long, path long, path2 long, at int, id long, whole long, rest binary")
 
 
-def without_repeats(docs: DataFrame, window: int = 50, k: int = 8, most_paths: int = 20_000, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), solver: Callable = subtree_owners) -> DataFrame:
+def subtree_nodes(group: np.ndarray, rest: np.ndarray, whole: np.ndarray, depth: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Subtrees of groups (a number for each suffix) below prefixes of `depth` words: the suffixes' order, and for each in this order
+    the number of the node of depth `window` that it stands below.
+
+    rest holds the words after the prefix. The depth at which neighbours part is that of the inner node that joins them; nodes of full
+    depth are the stretches that no shallower one cuts. Words are compared by 32 bits, whole suffixes by 64 more.
+    """
+    words = np.concatenate([group.astype(">u4")[:, None], rest], axis=1)
+    order = np.argsort(np.ascontiguousarray(words).view(f"S{4 * words.shape[1]}").ravel(), kind="stable")
+    order = order[np.lexsort((whole[order], np.concatenate(([0], np.cumsum((words[order][1:] != words[order][:-1]).any(1))))))]
+    words = words[order]
+    same = words[1:] == words[:-1]
+    common = np.where(same.all(1), words.shape[1], same.argmin(1))
+    parts = np.where(common == 0, 0, depth + common - 1)  # 0: other groups, the root
+    deep = (parts >= window) & (whole[order][1:] == whole[order][:-1])
+    return order, np.concatenate(([0], np.cumsum(~deep)))
+
+
+def subtree_hits(rows: DataFrame, window: int, depth: int, at_once: int = 50_000) -> DataFrame:
+    """rows as of suffixes() to (path, path2, at) of those whose node of full depth has a smaller document; a group is met as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            name, ids, whole = (table.column(c).to_numpy() for c in (0, 4, 5))
+            data = b"".join(table.column(6).to_pylist())
+            rest = np.frombuffer(data, ">u4").reshape(len(name), window - depth)
+            group = np.concatenate(([0], np.cumsum(name[1:] != name[:-1])))
+            order, node = subtree_nodes(group, rest, whole, depth, window)
+            least = np.minimum.reduceat(ids[order], np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))))
+            hit = order[least[node] < ids[order]]
+            if len(hit):
+                found = table.select([1, 2, 3]).take(pa.array(np.sort(hit))).combine_chunks()
+                yield from found.to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) >= at_once:
+                table = pa.Table.from_batches(held)
+                name = table.column(0).to_numpy()
+                last = int(np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))[-1])  # the last group may go on
+                if last:
+                    yield from flush(table.slice(0, last))
+                    held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    return rows.repartition("name").sortWithinPartitions("name").mapInArrow(run, "path long, path2 long, at int")
+
+
+def tree_hits(paths: DataFrame, window: int, k: int = 8, most: int = 2000) -> DataFrame:
+    """paths (path, path2, id, words), distinct fragments with their smallest document, to (path, path2, at), the windows that a smaller
+    document has in another fragment. k: the words that fragments were selected by, and the first prefix's."""
+    found, before, shorter = [], None, 0
+    for length in sorted({min(x, window) for x in (k, 16, 32, 64, 128, window)}):
+        rows = prefix_names(paths, window, length, shorter)
+        if before is not None:
+            rows = guarded_join(rows, before, ["before"], "left_semi", max_rows=300_000)
+        nodes = written(rows.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("last"), F.count("*").alias("n")).where("least < last").select("name", "least", "n"))
+        if length == window:
+            found.append(guarded_join(rows, nodes.select("name", "least"), ["name"], max_rows=300_000).where("id > least").select("path", "path2", "at"))
+            break
+        routes = guarded_join(rows, nodes.where(F.col("n") <= most).select("name"), ["name"], "left_semi", max_rows=300_000)
+        found.append(subtree_hits(suffixes(paths, routes, window, length), window, length))
+        before, shorter = nodes.where(F.col("n") > most).select(F.col("name").alias("before")), length
+        if before.isEmpty():
+            break
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
+
+
+def without_repeats(docs: DataFrame, window: int = 50, k: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), finder: Callable[[DataFrame, int, int], DataFrame] = tree_hits) -> DataFrame:
     """(id, n_words, n_removed, kept, spans) for each row: kept words joined by single spaces; spans (first, end) of words removed.
 
     A word goes if a window of `window` words around it has a word sequence that a document with a smaller id has too; windows
     are judged on the input. Words are runs of anything but ASCII white space, compared byte by byte. Null and empty texts
     have no words and keep an empty text. Rows that repeat an id are not smaller than each other. A null id is smaller than
-    all others. Nothing is capped: any number of documents may share a window. Columns named in carry are kept, and with them
-    `cleaned`: the text as it was where no word went, else the kept words. solver finds the owners of a group's windows.
+    all others. Ids are integers. Nothing is capped: any number of documents may share a window. Columns named in carry are kept, and
+    with them `cleaned`: the text as it was where no word went, else the kept words. finder finds, among distinct fragments, the
+    windows that a smaller document has. Empty tables give no rows.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes(f"`{text_col}`").alias("b"))
-    runs = written(suffix_runs(base, window, k))
-    groups = runs.groupBy("prefix").agg(F.min("id").alias("d0"), F.max("id").alias("d1")).where("d0 < d1").select("prefix")
-    shared = written(guarded_join(runs, written(groups), ["prefix"], max_rows=300_000))
-    paths = shared.groupBy("prefix", "path", "path2").agg(F.min(F.struct("id", "tag", "start", "length")).alias("first"))
-    paths = written(paths)
-    kinds = paths.groupBy("prefix").agg(F.count("*").alias("paths"))
-    paths = written(paths.join(kinds, "prefix"))
-    wanted = paths.where("paths > 1").select("first.*", "prefix", "path", "path2")
-    told = written(path_words(base, wanted, window).join(kinds, "prefix"))
-    trees = subtrees(told.where(F.col("paths") <= most_paths).drop("paths"), window, solver)
-    names = written(window_names(told.where(F.col("paths") > most_paths), window))
-    least = names.groupBy("w1", "w2").agg(F.min("id").alias("owner"))
-    large = names.join(least, ["w1", "w2"]).groupBy("path", "path2").agg(F.array_sort(F.collect_list(F.struct("at", "owner"))).alias("o")).select("path", "path2", F.transform("o", lambda x: x.owner).alias("owners"))
-    owners = trees.union(large)
-    single = paths.where("paths = 1").select("path", "path2", F.col("first.id").alias("d0"), F.lit(None).cast("array<long>").alias("owners"))
-    known = written(single.union(owners.select("path", "path2", F.lit(None).cast("long"), "owners")))
-    marked = shared.join(known, ["path", "path2"]).where("owners is not null or id > d0")
-    marked = marked.withColumn("hit", F.when(F.col("owners").isNull(), F.lit(True)).otherwise(F.exists("owners", lambda o: o < F.col("id")))).where("hit")
-    per_row = marked.groupBy("id").agg(F.collect_list(F.struct("tag", "start", "length", "owners")).alias("runs"))
-    with_more = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes(f"`{text_col}`").alias("b"), *[F.col(f"`{c}`") for c in carry])
-    out = cut(with_more.join(per_row, "id", "left").select("id", "b", "runs", *[F.col(f"`{c}`") for c in carry]), window)
+    base = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"), text_bytes(f"`{text_col}`").alias("b"), *[F.col(f"`{c}`") for c in carry])
+    base = base.withColumn("tag", F.xxhash64("b"))  # tells rows of one id apart by their text
+    runs = written(fragments(base, window, k))
+    groups = runs.groupBy("selector").agg(F.min("id").alias("d0"), F.max("id").alias("d1")).where("d0 < d1").select("selector")
+    shared = written(guarded_join(runs, written(groups), ["selector"], "left_semi", max_rows=300_000))
+    paths = written(shared.groupBy("selector", "path", "path2").agg(F.min(F.struct("id", "tag", "start", "length")).alias("first")))
+    several = written(paths.groupBy("selector").agg(F.count("*").alias("n")).where("n > 1").select("selector"))
+    wanted = guarded_join(paths, several, ["selector"], "left_semi", max_rows=300_000).select("first.*", "path", "path2")
+    found = finder(written(path_words(base, wanted, window)), window, k)
+    hits = found.groupBy("path", "path2").agg(F.sort_array(F.collect_list("at")).alias("hits"))
+    known = written(paths.select("path", "path2", F.col("first.id").alias("least")).join(hits, ["path", "path2"], "left"))
+    marked = shared.join(known, ["path", "path2"]).where("id > least OR hits IS NOT NULL").withColumn("hits", F.when(F.col("id") == F.col("least"), F.col("hits")))
+    per_row = marked.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "length", "hits")).alias("runs"))
+    out = cut(base.join(per_row, ["id", "tag"], "left").select("id", "b", "runs", *[F.col(f"`{c}`") for c in carry]), window)
     return out.withColumn("id", F.when(F.col("id") != NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
@@ -216,19 +286,18 @@ def cut(rows: DataFrame, window: int) -> DataFrame:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
                 total, gone, kept, spans = [], [], [], []
-                for own, text, runs in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
-                    words, tag = text.split(), _tag(text) if runs else 0
+                for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    words = text.split()
                     change = np.zeros(len(words) + 1, dtype=np.int64)
                     for r in runs or ():
-                        if r["tag"] == tag:
-                            s = r["start"]
-                            if r["owners"] is None:
-                                change[s] += 1
-                                change[s + r["length"] + window - 1] -= 1
-                            else:
-                                at = s + np.flatnonzero(np.array(r["owners"]) < own)
-                                np.add.at(change, at, 1)
-                                np.add.at(change, at + window, -1)
+                        s = r["start"]
+                        if r["hits"] is None:  # the whole fragment is a smaller document's
+                            change[s] += 1
+                            change[s + r["length"] + window - 1] -= 1
+                        else:
+                            at = s + np.array(r["hits"])
+                            np.add.at(change, at, 1)
+                            np.add.at(change, at + window, -1)
                     covered = np.cumsum(change[:-1]) > 0
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0]))))
                     spans.append([{"first": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])

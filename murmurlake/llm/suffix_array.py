@@ -1,84 +1,177 @@
 """Repeated passages by sparse suffix arrays over words.
 
 Only suffixes at content-selected positions are retained: of the windows of a text, each selects the run of `k` words with the
-least hash in it, about one position in twenty. Retained suffixes are sorted by their words; neighbours are compared, so that
-suffixes that agree on r words to the right are a stretch of the array without a smaller common prefix. A match is extended to
-the left by naming the o words before the position; a window that holds its position at word o is repeated where a stretch
-for r = window - o has the same o words to the left. Which positions can repeat at all, the sending of one copy of each distinct
-stretch of text to its part of the array, and the cutting of texts are those of substring_tree.
+least hash in it, about one position in twenty. All retained suffixes are sorted by their words, dealt to tasks by range, and
+neighbours are compared: suffixes that agree on r words to the right are a stretch of the array without a smaller common prefix.
+A match is extended to the left by comparing the words before its positions; a window that holds its position at word o is repeated
+where a stretch for r = window - o has the same o words to the left. A stretch that reaches an end of its task's range is put
+together with its continuation in the next range, of which only the first and the last suffix have to be known. Which positions can
+repeat at all, and the cutting of texts, are those of substring_tree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import substring_tree
-from .common import gram_hashes, mix64
+from .common import gram_hashes, guarded_join, mix64, written
+from .substring_tree import each_list
 
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
-def sparse_array(words: list[np.ndarray], window: int, k: int) -> list[tuple[int, int, int]]:
-    """(text, position, first window) of each retained suffix of the texts, whose windows all select runs of one hash.
+def retained(words: np.ndarray, window: int, k: int) -> list[tuple[int, int]]:
+    """(position, first window) of the retained suffixes of a fragment, all of whose windows select runs of one hash.
 
     Where the selected run occurs more than once, a window belongs to the first one inside it.
     """
-    out = []
-    for t, w in enumerate(words):
-        grams = mix64(gram_hashes(w.view(np.uint64), k))
-        first, windows = 0, len(w) - window + 1
-        for at in np.flatnonzero(grams == grams.min()).tolist():
-            if first >= windows:
-                break
-            out.append((t, at, first))
-            first = at + 1
+    grams, out, first = mix64(gram_hashes(words.view(np.uint64), k)), [], 0
+    for at in np.flatnonzero(grams == grams.min()).tolist():
+        if first > len(words) - window:
+            break
+        out.append((at, first))
+        first = at + 1
+    return out
+
+
+def retained_suffixes(paths: DataFrame, window: int, k: int) -> DataFrame:
+    """paths (path, path2, id, words) to (path, path2, id, at, right, left): up to `window` words from a retained position on, and, from
+    there backwards, the words before it that a window of its reaches; 64 bits for each word, big end first."""
+    names = ["path", "path2", "id", "at", "right", "left"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, right, left = [], [], [], []
+            for i, w in enumerate(each_list(b.column(3))):
+                data = w.view(np.uint64).astype(">u8")
+                for p, first in retained(w, window, k):
+                    row.append(i)
+                    at.append(p)
+                    right.append(data[p : p + window].tobytes())
+                    left.append(data[max(first, p - window + k) : p][::-1].tobytes())
+            if row:
+                keys = [b.column(c).take(pa.array(row)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(at, pa.int32()), pa.array(right, pa.binary()), pa.array(left, pa.binary())], names)
+
+    return paths.select("path", "path2", "id", "words").mapInArrow(run, "path long, path2 long, id long, at int, right binary, left binary")
+
+
+def word_table(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each item in a row of `width`, filled up with zeros, and how many each has."""
+    sizes = np.array([len(x) // 8 for x in data])
+    return np.frombuffer(b"".join(x.ljust(8 * width, b"\0") for x in data), ">u8").reshape(len(data), width), sizes
+
+
+def common_words(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """How many first words the rows of two tables share."""
+    same = a == b
+    return np.minimum(np.where(same.all(1), a.shape[1], same.argmin(1)), np.minimum(na, nb))
+
+
+def left_names(left: np.ndarray) -> np.ndarray:
+    """Column o: a name of the o words before each position."""
+    out = np.zeros((len(left), left.shape[1] + 1), dtype=np.uint64)
+    for d in range(left.shape[1]):
+        out[:, d + 1] = out[:, d] * _STEP + mix64(left[:, d].astype(np.uint64))
+    return out
+
+
+FOUND = "kind int, path long, path2 long, id long, at int, part int, o int, side int, left long, edge binary"
+
+
+def neighbours(sorted_: DataFrame, window: int, k: int) -> DataFrame:
+    """Sorted retained suffixes to rows of three kinds. 0: window `at` of (path, path2) that a smaller document has. 1: a window whose
+    stretch reaches the first (side 0) or else the last (side 1) suffix of the range `part`; its o and its name to the left go with it.
+    2: of each range the number, its first (side 0) and its last suffix (side 1), and in o the fewest words that neighbours share.
+    """
+    names, span = [x.split()[0] for x in FOUND.split(", ")], window - k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t, part = pa.Table.from_batches(held), TaskContext.get().partitionId()
+        path, path2, ids, at = (t.column(c).to_numpy() for c in range(4))
+        right, n_right = word_table(ends := t.column(4).to_pylist(), window)
+        left, n_left = word_table(t.column(5).to_pylist(), span - 1)
+        common = common_words(right[1:], n_right[1:], right[:-1], n_right[:-1])
+        name = left_names(left)
+
+        def rows(kind: int, use: np.ndarray, o: int, side: np.ndarray, named: np.ndarray) -> pa.RecordBatch:
+            n = len(use)
+            same = lambda v: np.full(n, v, np.int32)
+            cols = [same(kind), path[use], path2[use], ids[use], (at[use] - o).astype(np.int32), same(part), same(o), side.astype(np.int32), named.view(np.int64)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(n, pa.binary())], names)
+
+        for o in range(span):
+            stretch = np.concatenate(([0], np.cumsum(common < window - o)))  # neighbours that agree on window - o words are in one
+            use = np.flatnonzero((n_left >= o) & (n_right >= window - o))
+            if not len(use):
+                continue
+            mine, named = stretch[use], name[use, o]
+            edge = (mine == 0) | (mine == stretch[-1])
+            inner = use[~edge]
+            if len(inner):
+                order = np.lexsort((named[~edge], mine[~edge]))
+                m, v = mine[~edge][order], named[~edge][order]
+                first = np.concatenate(([True], (m[1:] != m[:-1]) | (v[1:] != v[:-1])))
+                least = np.minimum.reduceat(ids[inner[order]], np.flatnonzero(first))[np.cumsum(first) - 1]
+                hit = inner[order][least < ids[inner[order]]]
+                if len(hit):
+                    yield rows(0, hit, o, np.zeros(len(hit)), np.zeros(len(hit), np.uint64))
+            if edge.any():
+                yield rows(1, use[edge], o, mine[edge] > 0, named[edge])
+        least = int(common.min(initial=window))
+        cols = [[2, 2], [0, 0], [0, 0], [0, 0], [0, 0], [part, part], [least, least], [0, 1], [0, 0], [ends[0], ends[-1]]]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds, strict=True)], names)
+
+    return sorted_.mapInArrow(run, FOUND)
+
+
+def stretch_numbers(ranges: list[tuple[int, int, bytes, bytes]], window: int, k: int) -> list[tuple[int, int, int, int]]:
+    """ranges (part, fewest shared words, first suffix, last suffix) in order to (part, o, side, number): stretches at the ends of
+    neighbouring ranges are one where the suffixes on both sides of the cut agree on window - o words."""
+    out, before, ends = [], None, {}
+    for part, least, first, last in sorted(ranges):
+        share = 0
+        if before is not None:
+            a, na = word_table([before, first], window)
+            share = int(common_words(a[:1], na[:1], a[1:], na[1:])[0])
+        for o in range(window - k + 1):
+            begin = ends[o] if share >= window - o else 2 * part
+            ends[o] = begin if least >= window - o else 2 * part + 1
+            out += [(part, o, 0, begin), (part, o, 1, ends[o])]
+        before = last
     return out
 
 
-def array_owners(ids: np.ndarray, words: list[np.ndarray], window: int, k: int = 8) -> list[np.ndarray]:
-    """For each text, the smallest document of each of its windows, from sorted suffixes and their neighbours."""
-    kept = sparse_array(words, window, k)
-    right = [words[t][at : at + window].astype(">u8").tobytes() for t, at, _ in kept]
-    order = sorted(range(len(kept)), key=right.__getitem__)
-    n, span = len(kept), window - k + 1
-    common = np.zeros(n, dtype=np.int64)
-    for i in range(1, n):
-        a, b = right[order[i - 1]], right[order[i]]
-        if a == b:
-            common[i] = len(a) // 8
-        else:
-            m = min(len(a), len(b))
-            differ = np.flatnonzero(np.frombuffer(a[:m], np.uint64) != np.frombuffer(b[:m], np.uint64))
-            common[i] = differ[0] if len(differ) else m // 8
-    left = np.zeros((span, n), dtype=np.uint64)  # name of the o words before a position
-    reach = np.zeros(n, dtype=np.int64)  # the most words to the left that a window of it has
-    text, rest = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    for i, j in enumerate(order):
-        t, at, first = kept[j]
-        o = min(at - first, span - 1)
-        reach[i], text[i], rest[i] = o, t, len(words[t]) - at
-        back = mix64(words[t][at - o : at][::-1].view(np.uint64)) if o else np.empty(0, np.uint64)
-        name = np.uint64(0)
-        for d in range(o):
-            name = np.uint64((int(name) * int(_STEP) + int(back[d])) & 0xFFFFFFFFFFFFFFFF)
-            left[d + 1, i] = name
-    owner = [np.full(len(w) - window + 1, ids[t], dtype=np.int64) for t, w in enumerate(words)]
-    at_of = np.array([kept[j][1] for j in order], dtype=np.int64)
-    for o in range(span):
-        use = np.flatnonzero((reach >= o) & (rest >= window - o))
-        if not len(use):
-            continue
-        stretch = np.cumsum(common < window - o)[use]  # neighbours that agree on window - o words are in one stretch
-        _, group = np.unique(np.stack([stretch.astype(np.uint64), left[o, use]], axis=1), axis=0, return_inverse=True)
-        group = group.ravel()
-        least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, ids[text[use]])
-        for i, d in zip(use, least[group], strict=True):
-            owner[text[i]][at_of[i] - o] = d
-    return owner
+def array_hits(paths: DataFrame, window: int, k: int = 8) -> DataFrame:
+    """paths (path, path2, id, words), distinct fragments with their smallest document, to (path, path2, at), the windows that a smaller
+    document has in another fragment. To the driver goes one row for each end of a range of the sort, whatever the data's size."""
+    spark = paths.sparkSession
+    kept = written(retained_suffixes(paths, window, k))
+    order = ["right", "path", "path2", "at"]
+    found = written(neighbours(kept.repartitionByRange(*order).sortWithinPartitions(*order), window, k))
+    ends: dict[int, list] = {}
+    for r in found.where("kind = 2").orderBy("part", "side").select("part", "o", "edge").collect():
+        ends.setdefault(r.part, []).append(r)
+    ranges = [(part, first.o, bytes(first.edge), bytes(last.edge)) for part, (first, last) in ends.items()]
+    inside = found.where("kind = 0").select("path", "path2", "at")
+    if not ranges:
+        return inside
+    numbers = spark.createDataFrame(stretch_numbers(ranges, window, k), "part int, o int, side int, number long")
+    open_ = guarded_join(found.where("kind = 1"), numbers, ["part", "o", "side"], max_rows=300_000)
+    least = open_.groupBy("o", "number", "left").agg(F.min("id").alias("least"))
+    return inside.union(open_.join(least, ["o", "number", "left"]).where("id > least").select("path", "path2", "at"))
 
 
 def without_repeats(docs: DataFrame, window: int = 50, **how) -> DataFrame:
-    """As substring_tree.without_repeats, with the owners of windows found in sparse suffix arrays."""
-    return substring_tree.without_repeats(docs, window=window, solver=array_owners, **how)
+    """As substring_tree.without_repeats, with the repeated windows found in sparse suffix arrays."""
+    return substring_tree.without_repeats(docs, window=window, finder=array_hits, **how)

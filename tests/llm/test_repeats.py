@@ -1,5 +1,7 @@
 import random
+from functools import partial
 
+import numpy as np
 import pytest
 
 from murmurlake.llm import substring_tree, suffix_array
@@ -40,11 +42,11 @@ def brute(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("most_paths", [20_000, 2])
-def test_trees_equal_brute_force(spark, most_paths):
+@pytest.mark.parametrize("most", [2000, 2])
+def test_trees_equal_brute_force(spark, most):
     rows = corpus(4)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, kept string, prefix int")
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_tree.without_repeats(df, most_paths=most_paths).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_tree.without_repeats(df, finder=partial(substring_tree.tree_hits, most=most)).collect()}
     assert got == brute(rows)
 
 
@@ -56,8 +58,39 @@ def test_trees_empty_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 1, 0), (1, 60, 0), (1, 60, 0), (2, 1, 0), (2, 60, 60)]
 
 
-@pytest.mark.parametrize("most_paths", [20_000, 2])
-def test_arrays_equal_brute_force(spark, most_paths):
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_arrays_equal_brute_force(spark, ranges):
     rows = corpus(9)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in suffix_array.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), most_paths=most_paths).collect()}
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, selector string")
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ranges))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in suffix_array.without_repeats(df).collect()}
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert got == brute(rows)
+
+
+def test_arrays_empty_and_repeated_ids(spark):
+    schema = "doc_id long, text string"
+    assert suffix_array.without_repeats(spark.createDataFrame([], schema)).count() == 0
+    t = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, t), (1, t + " x"), (2, "b " + t), (None, "c"), (None, "d " + t), (3, None)]
+    got = suffix_array.without_repeats(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 1, 0), (0, 61, 0), (1, 60, 60), (1, 61, 60), (2, 61, 60), (3, 0, 0)]
+
+
+def test_nodes_are_those_of_the_tree():
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, 3, (400, 6)).astype(">u4")
+    group = np.sort(rng.integers(0, 5, 400))
+    whole = np.array([hash(tuple(w)) for w in words.tolist()])
+    order, node = substring_tree.subtree_nodes(group, words, whole, 4, 10)
+    got: dict[int, set] = {}
+    for i, n in zip(order.tolist(), node.tolist(), strict=True):
+        got.setdefault(n, set()).add((group[i], tuple(words[i].tolist())))
+    assert all(len(x) == 1 for x in got.values())
+    assert len(got) == len({(g, tuple(w)) for g, w in zip(group.tolist(), words.tolist(), strict=True)})
