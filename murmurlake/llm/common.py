@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -19,17 +19,37 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset on a single machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="murmurlake-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+_scratch: list[str] = []
+
+
+def scratch_mark() -> int:
+    """How many scratch tables there are, for release()."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the scratch tables written after scratch_mark() gave `since`, but for those that `keep` reads."""
+    used = "\n".join(keep.inputFiles())
+    for path in _scratch[since:]:
+        if path.rsplit("/", 1)[1] not in used:
+            hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+            _scratch.remove(path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df once as a table in the shared folder and read it back.
 
@@ -38,6 +58,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _scratch.append(path)
     jvm = spark._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hpath)
@@ -45,7 +66,8 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts go to Python in Arrow batches of at most `rows` rows where the session has Spark's default of 10,000.
+    """Whole texts go to Python in Arrow batches of at most `rows` rows where the session has Spark's default of 10,000; a session that
+    has set another number keeps it. Results do not depend on it.
 
     Batches of long texts are what a worker's memory goes to; workers are reused and keep the most that they ever held.
     """
@@ -115,13 +137,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def batches_of(rows: Iterable, size: int):
-    """Lists of at most `size` items."""
-    part: list = []
-    for r in rows:
-        part.append(r)
-        if len(part) >= size:
-            yield part
-            part = []
-    if part:
-        yield part
+def by_bytes(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of about `most` bytes (one text at least)."""
+    start = size = 0
+    for i, x in enumerate(texts):
+        size += len(x)
+        if size >= most:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)

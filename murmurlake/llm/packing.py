@@ -2,7 +2,8 @@
 
 The corpus is seen only as a histogram of piece lengths, bounded by the sequence length. Patterns of two and three lengths
 that fill a sequence exactly are enumerated, their repeat counts fitted to the histogram by non-negative least squares and
-rounded down; what is left is packed best fit, longest first, whole groups of equal sequences at a time. Ranks of pieces
+rounded, at whichever of a few thresholds takes the fewest sequences in all; what is left is packed best fit, longest first, whole
+groups of equal sequences at a time. Ranks of pieces
 within their length then say which place of which sequence each piece takes.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pick, small_batches, text_bytes, written
+from .common import by_bytes, pick, small_batches, text_bytes, written
 
 PIECES = "piece int, start long, length long, ids binary"
 
@@ -91,18 +92,6 @@ def word_ids(path: str) -> WordIds:
     return _known[path]
 
 
-def by_bytes(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about `most` bytes (one text at least)."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Each document's ids, end_id last, cut into pieces of `capacity`; the last piece may be shorter.
 
@@ -171,18 +160,34 @@ def nnls_counts(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int
     return x
 
 
-def plan_sequences(counts: np.ndarray, patterns_most: int = 30_000) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) pairs that use up the histogram counts[length]; no pattern is longer than len(counts) - 1 in sum."""
-    left, plan = counts.astype(np.int64).copy(), []
-    cap = len(counts) - 1
+def plan_sequences(counts: np.ndarray, patterns_most: int = 30_000, thresholds: tuple[float, ...] = (0.05, 0.25, 0.5, 1.0)) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """((pattern, repeats) pairs that use up the histogram counts[length], how many sequences of them the fitted patterns make).
+
+    No pattern is longer than len(counts) - 1 in sum. Fitted counts are rounded up from a fraction of `threshold` on, as far as the
+    lengths last, largest first. Of the thresholds the first with the fewest sequences in all is taken: lower ones leave less to
+    best fit.
+    """
     patterns = fitting_patterns(counts, patterns_most)
     x = nnls_counts(patterns, counts.astype(float))
-    for i in np.argsort(-x, kind="stable"):
-        lengths, times = np.unique(patterns[i], return_counts=True)
-        n = int(min(np.floor(x[i] + 1e-9), (left[lengths] // times).min()))
-        if n > 0:
-            left[lengths] -= n * times
-            plan.append((patterns[i], n))
+    best, fitted = None, 0
+    for threshold in thresholds:
+        left, plan = counts.astype(np.int64).copy(), []
+        for i in np.argsort(-x, kind="stable"):
+            lengths, times = np.unique(patterns[i], return_counts=True)
+            n = int(min(np.floor(x[i] + 1 - threshold + 1e-9), (left[lengths] // times).min()))
+            if n > 0:
+                left[lengths] -= n * times
+                plan.append((patterns[i], n))
+        made = sum(n for _, n in plan)
+        plan += best_fit(left)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best, fitted = plan, made
+    return best, fitted
+
+
+def best_fit(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) pairs that use up the histogram: longest lengths first, each into the fullest sequences that still hold it."""
+    cap = len(left) - 1
     spaces: list[int] = []  # of open groups, ascending
     groups: dict[int, list[list]] = {}
 
@@ -212,7 +217,7 @@ def plan_sequences(counts: np.ndarray, patterns_most: int = 30_000) -> list[tupl
                 n = todo // each
                 put(cap - each * length, (length,) * each, n)
                 todo -= n * each
-    return plan + [(pattern, n) for of in groups.values() for pattern, n in of]
+    return [(pattern, n) for of in groups.values() for pattern, n in of]
 
 
 def places(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> pd.DataFrame:
@@ -228,26 +233,32 @@ def places(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> pd.DataFra
     return pd.DataFrame(rows, columns=["length", "lo", "hi", "first", "at"]).astype("int64")
 
 
-def assign_sequences(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id", salts: int = 64, patterns_most: int = 30_000) -> DataFrame:
-    """pieces (id, piece, length, ...) plus sequence_id and offset. `pieces` is read twice: pass a written table.
+def assign_sequences(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id", each: int = 250_000, patterns_most: int = 30_000) -> DataFrame:
+    """pieces (id, piece, length, ...) plus sequence_id and offset. `pieces` is read three times: pass a written table.
 
-    A length may be most pieces, so ranks are taken within (length, salt) and shifted by the counts of smaller salts. To the
-    driver go capacity x salts counts, back go as many shifts and the places of the plan; all three are bounded by
-    parameters, not by the data. Within one sequence offsets are gapless from 0. No pieces give no rows.
+    A length may be most pieces, so a length of more than `each` pieces is ranked in as many parts of about that many, shifted by the
+    counts of the parts before. To the driver go the counts by length and part, back go as many shifts and the places of the plan;
+    all are bounded by `capacity` and pieces / each. Within one sequence offsets are gapless from 0. No pieces give no rows.
     """
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), "piece"), F.lit(salts)).cast("int"))
-    hist = pieces.groupBy("length", "salt").count().toPandas().sort_values(["length", "salt"]).reset_index(drop=True)
+    lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    parts = F.lit(1)
+    for length, n in sorted(lengths.items()):
+        if n > each:
+            parts = F.when(F.col("length") == length, -(-n // each)).otherwise(parts)
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), "piece"), parts).cast("int"))
+    hist = pieces.groupBy("length", "part").count().toPandas().sort_values(["length", "part"]).reset_index(drop=True)
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    np.add.at(counts, hist["length"].to_numpy(dtype=np.int64), hist["count"].to_numpy(dtype=np.int64))
-    table = places(plan_sequences(counts, patterns_most), capacity)
+    counts[list(lengths)] = list(lengths.values())
+    table = places(plan_sequences(counts, patterns_most)[0], capacity)
     hist["base"] = hist.groupby("length")["count"].cumsum() - hist["count"]
-    base = spark.createDataFrame(hist[["length", "salt", "base"]].astype({"length": "int64", "salt": "int32", "base": "int64"}), "length long, salt int, base long")
-    order = Window.partitionBy("length", "salt").orderBy(F.col(f"`{id_col}`").asc_nulls_first(), "piece")
-    ranked = pieces.withColumn("nth", F.row_number().over(order)).join(F.broadcast(base), ["length", "salt"]).withColumn("nth", F.col("nth") - 1 + F.col("base"))
-    slots = F.broadcast(spark.createDataFrame(table, "length long, lo long, hi long, first long, at long"))
+    small = lambda df, n: F.broadcast(df) if n <= 500_000 else df.hint("merge")
+    base = small(spark.createDataFrame(hist[["length", "part", "base"]].astype({"length": "int64", "part": "int32", "base": "int64"}), "length long, part int, base long"), len(hist))
+    order = Window.partitionBy("length", "part").orderBy(F.col(f"`{id_col}`").asc_nulls_first(), "piece")
+    ranked = pieces.withColumn("nth", F.row_number().over(order)).join(base, ["length", "part"]).withColumn("nth", F.col("nth") - 1 + F.col("base"))
+    slots = small(spark.createDataFrame(table, "length long, lo long, hi long, first long, at long"), len(table))
     out = ranked.join(slots, (ranked["length"] == slots["length"]) & (ranked["nth"] >= slots["lo"]) & (ranked["nth"] < slots["hi"])).drop(slots["length"])
-    return out.withColumns({"sequence_id": F.col("first") + F.col("nth") - F.col("lo"), "offset": F.col("at")}).drop("salt", "base", "nth", "lo", "hi", "first", "at")
+    return out.withColumns({"sequence_id": F.col("first") + F.col("nth") - F.col("lo"), "offset": F.col("at")}).drop("part", "base", "nth", "lo", "hi", "first", "at")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, digest: bool = False, **how) -> DataFrame:

@@ -6,9 +6,8 @@ tree is never built as a whole:
 1. Fragments. Neighbouring windows whose least hash of `k` words is the same one are a fragment of the text, about one in twenty
    words. Equal windows have equal such hashes, so fragments whose hash one document alone has cannot hold a repeat and go. Equal
    fragments are one; they are the branch of the tree that their documents share, and the least of these keeps it.
-2. Prefixes. The suffixes that begin in the fragments left are counted by their first 8 words. A prefix that one document
-   alone has goes. A prefix with more than `most` suffixes is lengthened to 16, 32, ... words, in the end to the whole window,
-   so that every group either fits in memory or is itself a node at full depth, which takes an aggregate and no list.
+2. Prefixes. The suffixes that begin in the fragments left are counted by their first words, all but 16 of the window. A prefix that
+   one document alone has goes. A prefix with more than `most` suffixes is lengthened by 8, by 12, in the end to the whole window, so that every group either fits in memory or is itself a node at full depth, which takes an aggregate and no list.
 3. Subtrees. A group's suffixes are sorted by the words after their prefix; the depths at which neighbours part are the tree's inner
    nodes. Below a node of depth `window` or more stand the occurrences of one repeat, of which the smallest document is kept.
 4. Windows whose smallest document is a smaller one are removed, on words of the whole text; windows that touch or overlap give
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WordHashes, gram_hashes, guarded_join, mix64, small_batches, text_bytes, written
+from .common import NULL_ID, WordHashes, by_bytes, gram_hashes, guarded_join, mix64, small_batches, text_bytes, written
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -53,20 +52,30 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return m if size == w else np.minimum(m[: len(x) - w + 1], m[w - size : w - size + len(x) - w + 1])
 
 
-def runs_of(h: np.ndarray, window: int, k: int, powers: Powers) -> tuple[np.ndarray, ...] | None:
-    """(selector, path, path2, start, length) of the fragments: runs of windows with one least k-word hash; none for short texts."""
-    if len(h) < window:
-        return None
-    selector = sliding_min(mix64(gram_hashes(h, k)), window - k + 1)
-    start = np.concatenate(([0], np.flatnonzero(selector[1:] != selector[:-1]) + 1))
-    length = np.diff(np.concatenate((start, [len(selector)])))
+def suffix_places(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts that begin at `starts` of one array and have `counts` suffixes each: the number of each suffix's text, its place."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, starts[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def runs_of(texts: list[np.ndarray], window: int, k: int, powers: Powers) -> tuple[np.ndarray, ...]:
+    """(text, selector, path, path2, start, length) of the texts' fragments: runs of windows with one least k-word hash."""
+    sizes = np.array([len(x) for x in texts])
+    h, begins = np.concatenate(texts), np.cumsum(sizes) - sizes
+    row, at = suffix_places(begins, np.maximum(sizes - window + 1, 0))
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 6
+    selector = sliding_min(mix64(gram_hashes(h, k)), window - k + 1)[at]
+    first = np.flatnonzero(np.concatenate(([True], (selector[1:] != selector[:-1]) | (row[1:] != row[:-1]))))
+    length = np.diff(np.concatenate((first, [len(row)])))
+    row, selector, start = row[first], selector[first], at[first]
     end = start + length + window - 1
     up, down = powers.to(len(h))
-    out = []
+    paths = []
     for salt in (np.uint64(0x1234567), np.uint64(0x89ABCDEF01)):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h ^ salt) * up[: len(h)], dtype=np.uint64)))
-        out.append(mix64((sums[end] - sums[start]) * down[start] + length.astype(np.uint64)))
-    return selector[start], out[0], out[1], start, length
+        paths.append(mix64((sums[end] - sums[start]) * down[start] + length.astype(np.uint64)))
+    return row, selector, *paths, start - begins[row], length
 
 
 def fragments(base: DataFrame, window: int, k: int) -> DataFrame:
@@ -76,16 +85,13 @@ def fragments(base: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                parts: list[tuple[np.ndarray, ...]] = []
-                for own, tag, text in zip(*[part.column(i).to_pylist() for i in range(3)], strict=True):
-                    got = runs_of(hashes.of(text.split()), window, k, powers)
-                    if got:
-                        n = len(got[0])
-                        parts.append((*[x.view(np.int64) for x in got[:3]], np.full(n, own), np.full(n, tag), got[3].astype(np.int32), got[4].astype(np.int32)))
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
+            texts = b.column(2).to_pylist()
+            for lo, hi in by_bytes(texts):
+                row, selector, path, path2, start, length = runs_of([hashes.of(t.split()) for t in texts[lo:hi]], window, k, powers)
+                if len(row):
+                    keys = [b.column(c).take(pa.array(row + lo)) for c in range(2)]
+                    longs = [pa.array(x.view(np.int64)) for x in (selector, path, path2)]
+                    yield pa.RecordBatch.from_arrays([*longs, *keys, pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32))], names)
 
     return base.select("id", "tag", "b").mapInArrow(run, "selector long, path long, path2 long, id long, tag long, start int, length int")
 
@@ -130,15 +136,13 @@ def prefix_names(paths: DataFrame, window: int, length: int, shorter: int = 0) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
-            for i, w in enumerate(each_list(b.column(3))):
-                n, h = len(w) - window + 1, w.view(np.uint64)
-                before = gram_hashes(h, shorter)[:n].view(np.int64) if shorter else np.zeros(n, np.int64)
-                parts.append((np.full(n, i), np.arange(n, dtype=np.int32), gram_hashes(h, length)[:n].view(np.int64), before))
-            if parts:
-                row, at, name, before = (np.concatenate(c) for c in zip(*parts, strict=True))
-                keys = [b.column(c).take(pa.array(row)) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(at), pa.array(name), pa.array(before)], names)
+            if not b.num_rows:
+                continue
+            h, offsets = b.column(3).values.to_numpy().view(np.uint64), b.column(3).offsets.to_numpy()
+            row, place = suffix_places(offsets[:-1], np.diff(offsets) - window + 1)
+            before = gram_hashes(h, shorter)[place].view(np.int64) if shorter else np.zeros(len(row), np.int64)
+            keys = [b.column(c).take(pa.array(row)) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array((place - offsets[row]).astype(np.int32)), pa.array(gram_hashes(h, length)[place].view(np.int64)), pa.array(before)], names)
 
     return paths.select("path", "path2", "id", "words").mapInArrow(run, "path long, path2 long, id long, at int, name long, before long")
 
@@ -146,30 +150,25 @@ def prefix_names(paths: DataFrame, window: int, length: int, shorter: int = 0) -
 def suffixes(paths: DataFrame, routes: DataFrame, window: int, depth: int) -> DataFrame:
     """routes (path, path2, at, name) to (name, path, path2, at, id, whole, rest): the words of each suffix after its prefix of `depth`
     words, 32 bits for each, and a 64-bit name of all its `window` words."""
-    each = routes.groupBy("path", "path2").agg(F.collect_list(F.struct("at", "name")).alias("at"))
+    each = routes.groupBy("path", "path2").agg(F.collect_list("at").alias("at"), F.collect_list("name").alias("name"))
     names = ["name", "path", "path2", "at", "id", "whole", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                rows, at, group, whole, rest = [], [], [], [], []
-                for i, (w, places) in enumerate(zip(each_list(part.column(3)), part.column(4).to_pylist(), strict=True)):
-                    h = w.view(np.uint64)
-                    a = np.array([p["at"] for p in places])
-                    rows.append(np.full(len(a), i))
-                    at.append(a.astype(np.int32))
-                    group.append(np.array([p["name"] for p in places]))
-                    whole.append(gram_hashes(h, window)[a].view(np.int64))
-                    rest.append((h >> np.uint64(32)).astype(">u4")[a[:, None] + np.arange(depth, window)])
-                if rows:
-                    keys = [part.column(c).take(pa.array(np.concatenate(rows))) for c in range(3)]
-                    size, data = 4 * (window - depth), np.concatenate(rest).tobytes()
-                    offsets = np.arange(0, len(data) + 1, size, dtype=np.int32)
-                    cols = [pa.array(np.concatenate(group)), keys[0], keys[1], pa.array(np.concatenate(at)), keys[2], pa.array(np.concatenate(whole)), pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])]
-                    yield pa.RecordBatch.from_arrays(cols, names)
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                h, offsets = part.column(3).values.to_numpy().view(np.uint64), part.column(3).offsets.to_numpy()
+                at, marks = part.column(4).flatten().to_numpy(), part.column(4).offsets.to_numpy()
+                row = np.repeat(np.arange(part.num_rows), np.diff(marks))
+                place = offsets[row] + at
+                rest = (h >> np.uint64(32)).astype(np.uint32)[place[:, None] + np.arange(depth, window)].tobytes()
+                ends = np.arange(0, len(rest) + 1, 4 * (window - depth), dtype=np.int32)
+                path, path2, own = (part.column(c).take(pa.array(row)) for c in range(3))
+                whole = pa.array(gram_hashes(h, window)[place].view(np.int64))
+                cols = [part.column(5).flatten(), path, path2, pa.array(at), own, whole, pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(rest)])]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    joined = paths.join(each, ["path", "path2"]).select("path", "path2", "id", "words", "at")
+    joined = paths.join(each, ["path", "path2"]).select("path", "path2", "id", "words", "at", "name")
     return joined.mapInArrow(run, "name long, path long, path2 long, at int, id long, whole long, rest binary")
 
 
@@ -180,7 +179,7 @@ def subtree_nodes(group: np.ndarray, rest: np.ndarray, whole: np.ndarray, depth:
     rest holds the words after the prefix. The depth at which neighbours part is that of the inner node that joins them; nodes of full
     depth are the stretches that no shallower one cuts. Words are compared by 32 bits, whole suffixes by 64 more.
     """
-    words = np.concatenate([group.astype(">u4")[:, None], rest], axis=1)
+    words = np.concatenate([group.astype(np.uint32)[:, None], rest], axis=1)
     order = np.argsort(np.ascontiguousarray(words).view(f"S{4 * words.shape[1]}").ravel(), kind="stable")
     order = order[np.lexsort((whole[order], np.concatenate(([0], np.cumsum((words[order][1:] != words[order][:-1]).any(1))))))]
     words = words[order]
@@ -200,7 +199,7 @@ def subtree_hits(rows: DataFrame, window: int, depth: int, at_once: int = 50_000
         def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
             name, ids, whole = (table.column(c).to_numpy() for c in (0, 4, 5))
             data = b"".join(table.column(6).to_pylist())
-            rest = np.frombuffer(data, ">u4").reshape(len(name), window - depth)
+            rest = np.frombuffer(data, np.uint32).reshape(len(name), window - depth)
             group = np.concatenate(([0], np.cumsum(name[1:] != name[:-1])))
             order, node = subtree_nodes(group, rest, whole, depth, window)
             least = np.minimum.reduceat(ids[order], np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))))
@@ -226,11 +225,11 @@ def subtree_hits(rows: DataFrame, window: int, depth: int, at_once: int = 50_000
     return rows.repartition("name").sortWithinPartitions("name").mapInArrow(run, "path long, path2 long, at int")
 
 
-def tree_hits(paths: DataFrame, window: int, k: int = 8, most: int = 2000) -> DataFrame:
+def tree_hits(paths: DataFrame, window: int, k: int = 8, most: int = 50_000) -> DataFrame:
     """paths (path, path2, id, words), distinct fragments with their smallest document, to (path, path2, at), the windows that a smaller
-    document has in another fragment. k: the words that fragments were selected by, and the first prefix's."""
+    document has in another fragment. k is what fragments were selected by; most: the suffixes of a group that a task may hold at once."""
     found, before, shorter = [], None, 0
-    for length in sorted({min(x, window) for x in (k, 16, 32, 64, 128, window)}):
+    for length in sorted({max(1, window - x) for x in (16, 8, 4, 0)}):
         rows = prefix_names(paths, window, length, shorter)
         if before is not None:
             rows = guarded_join(rows, before, ["before"], "left_semi", max_rows=300_000)

@@ -2,6 +2,7 @@ import hashlib
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from murmurlake.llm import chat_format, fingerprint, html_extract, mixing, packing, toxicity
@@ -29,6 +30,19 @@ def test_layouts_become_turns(spark):
     assert all(got[i].layout is None and got[i].turns is None for i in (90, 91, 92))
 
 
+def test_layouts_of_rows_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "human", "a: <b>"), (1, "gpt", "#c"), (None, None, None)], "conv_id long, from string, value string")
+    got = {r.conv_id: (r.layout, r.formatted) for r in chat_format.format_rows(rows).collect()}
+    assert got[1] == ("from and value", "### assistant: \\hc</turn>\n### user: a\\c \\lb></turn>\n") and got[None][1] == "### : </turn>\n"
+    with pytest.raises(ValueError):
+        chat_format.format_rows(rows.withColumn("more", F.lit(1)))
+    record = '{"messages": [{"role": "user", "content": "hi"}]}'
+    df = spark.createDataFrame([(record, 7, 8, 9)] * 2, "record string, v int, turns int, layout int")
+    out = chat_format.format_chats(df)
+    assert [(r.v, r.layout, r.turns[0].text) for r in out.collect()] == [(7, "messages", "hi")] * 2
+    assert chat_format.format_chats(df.limit(0)).count() == 0 and chat_format.format_rows(rows.limit(0)).count() == 0
+
+
 def test_escapes_are_reversible(spark):
     texts = ["", "\\", "\\b\\\\h#", "a:b <c> # \\l", "### x: y</turn>\n", "å\U0001f600:"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat_format.unescaped(chat_format.escaped(F.col("t"))).alias("u"))
@@ -55,7 +69,8 @@ def test_plans_use_the_histogram_up():
     rng = np.random.default_rng(2)
     for cap, n in ((2048, 20_000), (64, 500), (10, 3)):
         counts = np.bincount(rng.integers(1, cap + 1, n), minlength=cap + 1)
-        plan, used = packing.plan_sequences(counts), np.zeros(cap + 1, dtype=int)
+        (plan, fitted), used = packing.plan_sequences(counts), np.zeros(cap + 1, dtype=int)
+        assert 0 <= fitted <= sum(t for _, t in plan)
         for pattern, times in plan:
             assert sum(pattern) <= cap and times > 0
             np.add.at(used, list(pattern), times)
@@ -64,6 +79,22 @@ def test_plans_use_the_histogram_up():
         assert sum(t for _, t in plan) <= 1.06 * lower + 1
 
 
+def test_fitted_counts_are_those_of_least_squares():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        cap = 12
+        counts = np.bincount(rng.integers(1, cap + 1, 60), minlength=cap + 1).astype(float)
+        patterns = packing.fitting_patterns(counts)
+        weight = np.arange(cap + 1) / (cap + 1)
+        a = np.array([[p.count(n) for p in patterns] for n in range(cap + 1)], dtype=float)
+        error = lambda x: (weight * (a @ x - counts) ** 2).sum()  # noqa: E731, B023
+        x, step = np.zeros(len(patterns)), 1 / np.linalg.norm(a.T @ (weight[:, None] * a), 2)
+        for _ in range(20_000):  # projected gradient
+            x = np.maximum(x - step * (a.T @ (weight * (a @ x - counts))), 0)
+        got = packing.nnls_counts(patterns, counts)
+        assert (got >= 0).all() and error(got) <= error(x) * 1.05 + 0.05
+
+
 def test_packed_pieces(spark):
     from tokenizers import Tokenizer
 
@@ -114,7 +145,7 @@ def test_toxicity_holds_on_held_out_rows(spark):
     import zlib
 
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
-    lex = toxicity.learn([(t or "", y) for i, t, y in rows if not held(i)])
+    lex = toxicity.learn(spark.createDataFrame([(i, t or "", y) for i, t, y in rows if not held(i)], "row long, text string, toxic int"))
     a = lex.automaton()
     out = [(lex.score(lex.features(t or "", a)) >= 0.3, bool(y)) for i, t, y in rows if held(i)]
     hit, false, missed = (sum(p and y for p, y in out), sum(p and not y for p, y in out), sum(y and not p for p, y in out))
@@ -123,7 +154,7 @@ def test_toxicity_holds_on_held_out_rows(spark):
 
 def test_toxicity_folding_and_edges(spark):
     assert toxicity.folded("1D10T! іdiot ​Mor­or") == " idiot idiot moror "
-    lex = toxicity.learn([])
+    lex = toxicity.learn(spark.createDataFrame([], "row long, text string, toxic int"))
     a = lex.automaton()
     assert lex.features("a trash can", a)[0] == 0 and lex.features("idiot", a)[0] > 0
     df = spark.createDataFrame([(1, None, 3.0), (2, "", 3.0), (3, "you idiot moron", 3.0), (3, "you idiot moron", 3.0)], "doc_id long, text string, score double")
@@ -131,6 +162,25 @@ def test_toxicity_folding_and_edges(spark):
     assert sorted(got) == [(1, 0), (2, 0), (3, 1), (3, 1)]
 
 
+def test_likeness_is_near_weighted_jaccard(spark):
+    rng = np.random.default_rng(4)
+    rows, counts = [], []
+    for i in range(60):
+        c = {f"w{j}": int(n) for j, n in enumerate(rng.integers(0, 4, 80)) if n}
+        if i % 2 and rng.random() < 0.8:
+            c = {w: n + int(rng.random() < 0.1) for w, n in counts[-1].items() if rng.random() < 0.9}
+        counts.append(c)
+        rows.append((i, " ".join(w for w, n in c.items() for _ in range(n))))
+    got = {r.doc_id: r.near_next for r in fingerprint.fingerprint_with_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    errors = []
+    for i in range(59):
+        a, b = counts[i], counts[i + 1]
+        terms = a.keys() | b.keys()
+        exact = sum(min(a.get(t, 0), b.get(t, 0)) for t in terms) / sum(max(a.get(t, 0), b.get(t, 0)) for t in terms)
+        errors.append(got[i] - exact)
+    assert np.sqrt(np.square(errors).mean()) < 0.09 and abs(np.mean(errors)) < 0.04 and np.abs(errors).max() < 0.3
+
+
 def test_fingerprints(spark):
     rows = [(1, "a b c d e f g h " * 3), (2, "x y z w " * 5), (3, None), (4, ""), (7, "a b c d e f g h " * 3), (7, "q"), (None, "n m")]
     got = fingerprint.fingerprint_with_neighbours(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int")).collect()
