@@ -87,8 +87,8 @@ FOUND = "kind int, path long, path2 long, id long, at int, part int, o int, side
 
 def neighbours(sorted_: DataFrame, window: int, k: int) -> DataFrame:
     """Sorted retained suffixes to rows of three kinds. 0: window `at` of (path, path2) that a smaller document has. 1: a window whose
-    stretch reaches the first (side 0) or else the last (side 1) suffix of the range `part`; its o and its name to the left go with it.
-    2: of each range the number, its first (side 0) and its last suffix (side 1), and in o the fewest words that neighbours share.
+    stretch reaches the first (side 0) or else the last (side 1) suffix of the range `part`, of the smallest document that has it in
+    this range; its o and its name to the left go with it. 2: of each range the number, its first (side 0) and its last suffix (side 1), and in o the fewest words that neighbours share.
     """
     names, span = [x.split()[0] for x in FOUND.split(", ")], window - k + 1
 
@@ -114,17 +114,15 @@ def neighbours(sorted_: DataFrame, window: int, k: int) -> DataFrame:
             use = np.flatnonzero((n_left >= o) & (n_right >= window - o))
             if not len(use):
                 continue
+            order = np.lexsort((name[use, o], stretch[use]))
+            use = use[order]
             mine, named = stretch[use], name[use, o]
-            edge = (mine == 0) | (mine == stretch[-1])
-            inner = use[~edge]
-            if len(inner):
-                order = np.lexsort((named[~edge], mine[~edge]))
-                m, v = mine[~edge][order], named[~edge][order]
-                first = np.concatenate(([True], (m[1:] != m[:-1]) | (v[1:] != v[:-1])))
-                least = np.minimum.reduceat(ids[inner[order]], np.flatnonzero(first))[np.cumsum(first) - 1]
-                hit = inner[order][least < ids[inner[order]]]
-                if len(hit):
-                    yield rows(0, hit, o, np.zeros(len(hit)), np.zeros(len(hit), np.uint64))
+            first = np.concatenate(([True], (mine[1:] != mine[:-1]) | (named[1:] != named[:-1])))
+            least = np.minimum.reduceat(ids[use], np.flatnonzero(first))[np.cumsum(first) - 1]
+            hit = use[least < ids[use]]
+            if len(hit):
+                yield rows(0, hit, o, np.zeros(len(hit)), np.zeros(len(hit), np.uint64))
+            edge = ((mine == 0) | (mine == stretch[-1])) & (least == ids[use])
             if edge.any():
                 yield rows(1, use[edge], o, mine[edge] > 0, named[edge])
         least = int(common.min(initial=window))
@@ -137,7 +135,7 @@ def neighbours(sorted_: DataFrame, window: int, k: int) -> DataFrame:
 
 def stretch_numbers(ranges: list[tuple[int, int, bytes, bytes]], window: int, k: int) -> list[tuple[int, int, int, int]]:
     """ranges (part, fewest shared words, first suffix, last suffix) in order to (part, o, side, number): stretches at the ends of
-    neighbouring ranges are one where the suffixes on both sides of the cut agree on window - o words."""
+    neighbouring ranges are one where the suffixes on both sides of the cut agree on window - o words. Only stretches of several ranges."""
     out, before, ends = [], None, {}
     for part, least, first, last in sorted(ranges):
         share = 0
@@ -149,7 +147,10 @@ def stretch_numbers(ranges: list[tuple[int, int, bytes, bytes]], window: int, k:
             ends[o] = begin if least >= window - o else 2 * part + 1
             out += [(part, o, 0, begin), (part, o, 1, ends[o])]
         before = last
-    return out
+    parts: dict[tuple[int, int], set[int]] = {}
+    for part, o, _, number in out:
+        parts.setdefault((o, number), set()).add(part)
+    return [x for x in out if len(parts[x[1], x[3]]) > 1]
 
 
 def array_hits(paths: DataFrame, window: int, k: int = 8) -> DataFrame:
