@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines (one for each block); lines of menus, adverts, forms and the like, and lines that are mostly links,
-count as blank. Over sliding windows of lines text lengths are summed: where the sum surges from nothing the text begins, where
-it dives to nothing it ends. A page is one row; its work is linear in the html.
+Markup is stripped to lines (one for each block). What a line weighs is its text length, nothing if it is mostly links; menus, adverts,
+forms and the like leave blank lines. Over sliding windows of lines weights are summed: where the sum surges from nothing the text
+begins, where it dives to nothing it ends, and all lines between, light ones too, are text. So a list of links is dropped inside an article
+as outside one, and a link between paragraphs stays. A page is one row; its work is linear in the html.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of class and id names, and roles, of what surrounds an article.
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup "
-    "subscription social share sharing related recommended recommendations sidebar rail aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies "
-    "toolbar pagination pager copyright legal disclaimer widget skip login search teaser outbrain taboola contentinfo complementary paywall".split()
+    "subscription social share sharing related recommended recommendations sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies "
+    "toolbar pagination pager outbrain taboola contentinfo complementary paywall".split()
 )
-_SOFT = frozenset({"header", "topbar"})  # left out only outside an article
+#: The same, but left out only outside an article: inside one they are as often parts of the text.
+_SOFT = frozenset("header topbar copyright legal disclaimer widget skip login search teaser rail".split())
 
 
 def _marked(attrs: str, inside: bool) -> bool:
@@ -49,10 +51,10 @@ def _marked(attrs: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str, by_name: bool = True) -> tuple[list[tuple[str, bool, int]], bool]:
-    """(line, inside an article, container) for each block in page order, ("", False, 0) where something was left out; whether
-    there is an article. The container is the innermost holder element that has further lines in it."""
-    lines: list[tuple[str, bool, int]] = []
+def lines_of(page: str, by_name: bool = True) -> tuple[list[tuple[str, int, bool, int]], bool]:
+    """(line, weight, inside an article, container) for each block in page order, ("", 0, False, 0) where something was left out;
+    whether there is an article. The container is the innermost holder element that has further lines in it."""
+    lines: list[tuple[str, int, bool, int]] = []
     text: list[str] = []
     parents, held, opened = [0], [("", 0)], Counter()
     linked = inside = pos = 0
@@ -65,8 +67,8 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[tuple[str, bool, int
             raw = "".join(text)
             words = entities.unescape(raw).split()
             if words:
-                mostly_links = linked > 0.8 * len(raw.strip()) and not inside
-                lines.append(("", False, 0) if mostly_links else (" ".join(words), inside > 0, held[-1][1]))
+                line = " ".join(words)
+                lines.append((line, 0 if linked > 0.8 * len(raw.strip()) else len(line), inside > 0, held[-1][1]))
             text.clear()
         linked = 0
 
@@ -112,10 +114,10 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[tuple[str, bool, int
         if name in ("article", "main"):
             has_article = True
             inside = max(0, inside + (-1 if closing else 1))
-            lines.append(("", False, 0))
+            lines.append(("", 0, False, 0))
         elif not closing and name not in _VOID and name not in _ROOT and name not in _HEADING and (name in _ASIDE or name == "header" and not inside or by_name and _marked(attrs, inside > 0)):
             end()
-            lines.append(("", False, 0))
+            lines.append(("", 0, False, 0))
             skip, depth = ("", 0) if attrs.endswith("/") else (name, 1)
             continue
         if name in _HOLDERS and not closing and not attrs.endswith("/"):
@@ -128,7 +130,7 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[tuple[str, bool, int
                 last, _ = held.pop()
                 opened[last] -= 1
     end()
-    within = Counter(c for x, _, c in lines if x)
+    within = Counter(c for x, _, _, c in lines if x)
     for c in range(len(parents) - 1, 0, -1):
         within[parents[c]] += within[c]
 
@@ -137,48 +139,53 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[tuple[str, bool, int
             c = parents[c]
         return c
 
-    return [(x, i, shared(c) if x else 0) for x, i, c in lines], has_article
+    return [(x, w, i, shared(c) if x else 0) for x, w, i, c in lines], has_article
+
+
+def stretches_of(weights: list[int], window: int, least: int) -> list[tuple[int, int]]:
+    """Ranges from a surge to the next dive: a line with weight from which `window` lines weigh `least` or more, and the first line
+    after it from which they weigh nothing."""
+    weights = weights + [0] * window
+    found, open_at, total = [], -1, sum(weights[:window])
+    for i in range(len(weights) - window):
+        if open_at < 0 and weights[i] and total >= least:
+            open_at = i
+        elif open_at >= 0 and not total:
+            found.append((open_at, i))
+            open_at = -1
+        total += weights[i + window] - weights[i]
+    return found + ([(open_at, len(weights) - window)] if open_at >= 0 else [])
 
 
 def main_text(page: str | None, window: int = 3, least: int = 80) -> str:
     """The article's blocks joined by two line ends; empty if there is none.
 
-    Between two left-out parts stand `window` blank lines, so that the window sum falls to nothing there. Inside an article
-    element every line that rises above nothing counts, outside one a surge needs `least` characters. Every stretch between
-    surge and dive is kept, however long others are, and so are further lines of the containers that its lines stand in: a
-    left-out part inside a text does not end the text.
+    Between two left-out parts stand `window` blank lines, so that the window sum falls to nothing there. Where a page has an article
+    element with text, lines outside it are left out and any weight is a surge; elsewhere a surge needs `least` characters. Every
+    stretch between surge and dive is kept, however long others are, and so are further lines with weight of the containers that its
+    lines stand in: a left-out part inside a text does not end the text. A page whose lines are all in left-out parts by their names is
+    read again without regard to names.
     """
     if not page:
         return ""
     lines, has_article = lines_of(page)
-    if not any(x for x, *_ in lines):
+    if not any(w for _, w, *_ in lines):
         lines, has_article = lines_of(page, by_name=False)
-    if has_article and any(x and i for x, i, _ in lines):
-        lines, least = [(x if i else "", i, c) for x, i, c in lines], 1
-    spread: list[tuple[str, int]] = []
-    for x, _, c in lines:
-        spread += [(x, c)] if x else [("", 0)] * window
-    lengths = [len(x) for x, _ in spread] + [0] * window
-    stretches, open_at = [], -1
-    total = sum(lengths[:window])
-    for i in range(len(spread)):
-        if open_at < 0 and lengths[i] and total >= least:
-            open_at = i
-        elif open_at >= 0 and not total:
-            stretches.append((open_at, i))
-            open_at = -1
-        total += lengths[i + window] - lengths[i] if i + window < len(lengths) else -lengths[i]
-    if open_at >= 0:
-        stretches.append((open_at, len(spread)))
-    dense = {i for a, b in stretches for i in range(a, b)}
-    texts = {c for i, (x, c) in enumerate(spread) if x and i in dense}
-    return "\n\n".join(x for i, (x, c) in enumerate(spread) if x and (i in dense or c in texts))
+    if has_article and any(w and i for _, w, i, _ in lines):
+        lines, least = [(x, w, i, c) if i else ("", 0, i, c) for x, w, i, c in lines], 1
+    spread: list[tuple[str, int, int]] = []
+    for x, w, _, c in lines:
+        spread += [(x, w, c)] if x else [("", 0, 0)] * window
+    dense = {i for a, b in stretches_of([w for _, w, _ in spread], window, least) for i in range(a, b)}
+    texts = {c for i, (_, w, c) in enumerate(spread) if w and i in dense}
+    return "\n\n".join(x for i, (x, w, c) in enumerate(spread) if x and (i in dense or w and c in texts))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages to (page_id, url, text, n_chars); n_chars counts code points. Null or empty html gives an empty text.
 
-    Each page is read whole and alone, so repeated rows give repeated results; further columns are left out.
+    Each page is read whole and alone, so repeated rows give repeated results; further columns, whatever their names, are left out; null
+    ids and urls stay null; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
