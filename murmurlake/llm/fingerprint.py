@@ -35,22 +35,27 @@ def _sample(k: int) -> Column:
     return F.shiftleft(F.floor((F.least(ln_a, F.lit(20.0)) + 100.0) * float(2**24)), 32).bitwiseOR(sign)
 
 
-def fingerprints(texts: DataFrame, text_cols: list[str], samples: int = 32) -> DataFrame:
-    """For each row and each of text_cols, `<col>_sig`: array of 16-bit samples; texts without words give no array.
+def fingerprints(texts: DataFrame, text_cols: tuple[str, str], samples: int = 48) -> DataFrame:
+    """For each row and each of the two text_cols, `<col>_sig`: array of 16-bit samples; texts without words give no array.
 
-    The other columns must tell the rows apart and stay; a row none of whose texts has words is missing. Nothing is shuffled
-    here if texts is dealt out by columns that stay, else (row, term, count) is, never a text.
+    The other columns must tell the rows apart and stay; a row none of whose texts has words is missing. A term that both texts have
+    equally often is sampled once for both: terms of the first text alone, of the second alone and of both are minimised apart
+    (sides 1, 2, 3). Nothing is shuffled here if texts is dealt out by columns that stay, else (row, term, counts) is, never a text.
     """
     stay = [c for c in texts.columns if c not in text_cols]
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.coalesce(F.col(c), F.lit("")).alias("t")) for i, c in enumerate(text_cols)])
     rows = texts.select(*stay, F.explode(sides).alias("s"))
     words = rows.select(*stay, "s.side", F.explode(F.split("s.t", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    terms = words.select(*stay, "side", F.xxhash64("word").alias("h")).groupBy(*stay, "side", "h").count()
-    terms = terms.select(*stay, "side", "h", F.log(F.col("count").cast("double")).alias("lnw"), F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
+    terms = words.select(*stay, "side", F.xxhash64("word").alias("h")).groupBy(*stay, "h").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    part = lambda side, n: F.struct(F.lit(side).alias("side"), n.alias("n"))
+    each = F.when(F.col("n0") == F.col("n1"), F.array(part(3, F.col("n0")))).otherwise(F.filter(F.array(part(1, F.col("n0")), part(2, F.col("n1"))), lambda x: x.n > 0))
+    terms = terms.select(*stay, "h", F.explode(each).alias("x"))
+    terms = terms.select(*stay, "x.side", "h", F.log(F.col("x.n").cast("double")).alias("lnw"), F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
     mins = terms.groupBy(*stay, "side").agg(*[F.min(_sample(k)).alias(f"s{k}") for k in range(samples)])
-    short = F.array(*[F.shiftrightunsigned(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), 16).cast("int") for k in range(samples)])
-    both = mins.select(*stay, "side", short.alias("sig")).groupBy(*stay).agg(F.map_from_entries(F.collect_list(F.struct("side", "sig"))).alias("sigs"))
-    return both.select(*stay, *[F.try_element_at("sigs", F.lit(i)).alias(f"{c}_sig") for i, c in enumerate(text_cols)])
+    of = lambda i, k: F.min(F.when(F.col("side").isin(i + 1, 3), F.col(f"s{k}")))
+    both = mins.groupBy(*stay).agg(*[of(i, k).alias(f"s{i}_{k}") for i in (0, 1) for k in range(samples)])
+    short = lambda i: F.array(*[F.shiftrightunsigned(F.col(f"s{i}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)), 16).cast("int") for k in range(samples)])
+    return both.select(*stay, *[F.when(F.col(f"s{i}_0").isNotNull(), short(i)).alias(f"{c}_sig") for i, c in enumerate(text_cols)])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -68,7 +73,8 @@ def text_form(sig: str) -> Column:
 def next_keys(keys: DataFrame, parts: int) -> DataFrame:
     """keys (key distinct, ...) plus next_key, the least larger key, and for the largest the least.
 
-    Keys are dealt by range; each part is numbered in itself, and only the first key of each part is ordered as a whole.
+    Keys are dealt by range; each part is numbered in itself, and only the first key of each part is ordered as a whole and broadcast:
+    one row for each of `parts`.
     """
     ranged = written(keys.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id()))
     firsts = ranged.groupBy("part").agg(F.min("key").alias("first"))
@@ -78,7 +84,7 @@ def next_keys(keys: DataFrame, parts: int) -> DataFrame:
     return ranged.withColumn("lead", lead).join(F.broadcast(firsts), "part").withColumn("next_key", F.coalesce("lead", "following")).drop("lead", "following", "part")
 
 
-def fingerprint_with_neighbours(docs: DataFrame, samples: int = 32, id_col: str = "doc_id") -> DataFrame:
+def fingerprint_with_neighbours(docs: DataFrame, samples: int = 48, id_col: str = "doc_id") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
 
     edited: the last quarter (rounded down) of the code points replaced by the first as many, or all, of the next document by
@@ -103,7 +109,7 @@ def fingerprint_with_neighbours(docs: DataFrame, samples: int = 32, id_col: str
     whole = whole.select("key", F.xxhash64("text").alias("th"), n.cast("long").alias("n_chars"), "text", F.concat(F.substr("text", F.lit(1), n - cut), F.substr("head", F.lit(1), cut)).alias("edited"))
     facts = whole.select("key", "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     once = whole.dropDuplicates(["key", "th"]) if most > 1 else whole
-    sigs = fingerprints(once.select("key", "th", "text", "edited"), ["text", "edited"], samples).withColumnRenamed("text_sig", "sig")
+    sigs = fingerprints(once.select("key", "th", "text", "edited"), ("text", "edited"), samples).withColumnRenamed("text_sig", "sig")
     none = F.array().cast("array<int>")
     done = facts.join(sigs, ["key", "th"], "left").withColumns({"sig": F.coalesce("sig", none), "edited_sig": F.coalesce("edited_sig", none)})
     done = written(done)
