@@ -7,7 +7,7 @@ similarity, with concentration as for t independent values, for a cost of O(t lo
 
 Equal sets are one node. Nodes that share a band are candidates; what counts as a link is decided on full sets. Within a
 bucket every member is first compared with the smallest one; only buckets that this leaves in several components are then
-compared in blocks, member by member across components. So a group of n near copies costs about n comparisons, not n squared.
+compared in blocks of bounded size, member by member across components. So a group of n near copies costs about n comparisons, not n squared.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def blocks_linked(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = 40, rows: int = 6, block: int = 4000, id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = 40, rows: int = 6, block: int = 2_000_000, id_col: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of docs.
 
     Texts are lower-cased (A-Z only) and cut into words at ASCII white space; a set is the distinct runs of k words. Rows are
@@ -180,7 +180,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     reach, kept marks rows whose id it is. Null or empty texts and texts without words have empty sets and no links. Rows
     that repeat an id are one node; a null id is a node of its own kind, below all others, shown as null again.
 
-    A pair of similarity 0.8 shares no band of 40 x 6 with a probability of 5e-6; no bucket is capped.
+    A pair of similarity 0.8 shares no band of 40 x 6 with a probability of 5e-6; no bucket is capped. block: shingles of the members
+    of a bucket that are compared in one place; larger buckets are dealt to pairs of blocks. Ids are integers. Further columns are left
+    out; empty tables give no rows.
     """
     small_batches(docs.sparkSession)
     num, den = similarity
@@ -188,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
     seen = written(sketched(base, k, bands, rows))
     full = seen.where("n_shingles > 0")
     reps = written(full.groupBy("k1", "k2").agg(F.min("id").alias("rep")))
-    banded = full.join(reps.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").select("id", F.explode("keys").alias("key"))
+    banded = full.join(reps.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").select("id", "n_shingles", F.explode("keys").alias("key"))
     multi = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n")).where("leader < last").drop("last")
     members = written(banded.join(multi, "key"))
 
@@ -202,10 +204,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (
 
     now = written(components(links))
     label = members.where("n > 2").join(now.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    label = written(label.select("key", "id", "comp", "n"))
-    mixed = label.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same")).where("c0 < c1")
-    mixed = mixed.groupBy("n", "same").agg(F.min("key").alias("key"))  # bands with the same members once
-    left = written(label.drop("n").join(mixed, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int")))
+    label = written(label.select("key", "id", "comp", "n_shingles"))
+    mixed = label.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.sum("n_shingles").alias("items"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same")).where("c0 < c1")
+    mixed = mixed.groupBy("n", "same", "items").agg(F.min("key").alias("key"))  # bands with the same members once
+    left = written(label.drop("n_shingles").join(mixed, "key").withColumn("parts", F.ceil(F.col("items") / block).cast("int")))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     spread = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "id", "comp")
