@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +18,12 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """A layout: its shape as field paths, and Spark SQL over the variant `v` giving its turns."""
+    """A layout: its shape as field paths, Spark SQL over the variant `v` giving its turns, and, where it lists turns, their fields."""
 
     name: str
     shape: str
     turns: str
+    fields: tuple[str, ...] = ()
 
 
 def _listed(name: str, field: str, role: str, text: str, also: str = "") -> Layout:
@@ -29,7 +31,8 @@ def _listed(name: str, field: str, role: str, text: str, also: str = "") -> Layo
     kinds = f"{role} string, {text} string" + (f", {also} bigint" if also else "")
     order = f"array_sort({{0}}, (x, y) -> int(sign(x.{also} - y.{also})))" if also else "{0}"
     got = order.format(f"variant_get(v, '$.{field}', 'array<struct<{kinds}>>')")
-    return Layout(name, f"OBJECT<{field}: ARRAY<OBJECT<{inner}>>>", f"transform({got}, x -> named_struct('role', x.{role}, 'text', x.{text}))")
+    listed = (role, text, also)
+    return Layout(name, f"OBJECT<{field}: ARRAY<OBJECT<{inner}>>>", f"transform({got}, x -> named_struct('role', x.{role}, 'text', x.{text}))", listed)
 
 
 def _pair(name: str, asks: tuple[str, ...], answer: str, system: str = "") -> Layout:
@@ -100,17 +103,21 @@ def canonical_turns(df: DataFrame, record: str = "record") -> DataFrame:
     Null roles and texts become empty; known other names of the roles become user and assistant. A record of no known
     layout, or that is no JSON, or null, keeps its row with null layout and turns. Empty lists of turns have no element
     to take paths from and count as unknown. A record of more than LARGE bytes that does not parse, as one beyond the size
-    of a variant, is an error: it would be lost without a word otherwise.
+    of a variant, is an error: it would be lost without a word otherwise. Repeated records are formatted each; an empty table gives no
+    rows. Further columns stay, but for those that carry the names of results, which give way.
     """
     text = F.col(f"`{record}`")
     v = F.when(F.octet_length(text) > LARGE, F.parse_json(text)).otherwise(F.try_parse_json(text))
-    df = df.withColumn("v", v).withColumn("fingerprint", F.xxhash64(shape_of(F.col("v")))).withColumn("fingerprint", F.when(F.col("v").isNotNull(), F.col("fingerprint")))
+    name = "v"
+    while name in df.columns:
+        name += "_"
+    df = df.withColumn(name, v).withColumn("fingerprint", F.when(F.col(name).isNotNull(), F.xxhash64(shape_of(F.col(name)))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in reversed(LAYOUTS):
         hit = F.col("fingerprint") == F.xxhash64(F.lit(x.shape))
-        layout, turns = F.when(hit, F.lit(x.name)).otherwise(layout), F.when(hit, F.expr(x.turns).cast(TURNS)).otherwise(turns)
+        layout, turns = F.when(hit, F.lit(x.name)).otherwise(layout), F.when(hit, F.expr(x.turns.replace("variant_get(v,", f"variant_get({name},")).cast(TURNS)).otherwise(turns)
     clean = F.transform("turns", lambda x: F.struct(_role(x.role).alias("role"), F.coalesce(x.text, F.lit("")).alias("text")))
-    return df.withColumns({"layout": layout, "turns": turns}).withColumn("turns", clean).drop("v")
+    return df.withColumns({"layout": layout, "turns": turns}).withColumn("turns", clean).drop(name)
 
 
 def format_chats(df: DataFrame, record: str = "record") -> DataFrame:
@@ -141,16 +148,30 @@ def read_back(df: DataFrame) -> DataFrame:
     return df.withColumns({"read_turns": F.transform("pieces", turn), "loss_text": F.array_join(F.transform(loss, unescaped), "")}).drop("pieces")
 
 
-def format_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) rows, one for each turn, as format_chats gives records_of_rows, without `record` and `turns`.
+def layout_of_rows(rows: DataFrame, key: str = "conv_id") -> Layout:
+    """The declared layout whose listed turns have the field paths of the table's rows without `key`, by the hash of these paths."""
+    paths = sorted(n for n in rows.columns if n != key)
+    declared = {xxhash.xxh64_intdigest(", ".join(sorted(f for f in x.fields if f)), 42): x for x in reversed(LAYOUTS) if x.fields}
+    found = declared.get(xxhash.xxh64_intdigest(", ".join(paths), 42))
+    if found is None:
+        raise ValueError(f"no declared layout has turns of the fields {paths}")
+    return found
 
-    The layout is declared and no JSON or variant is made, so a conversation may be as long as a string can (2 GB); a longer
-    one is an error. Turns are formatted row by row and then joined in order of (turn, role, text).
+
+def format_rows(rows: DataFrame, key: str = "conv_id") -> DataFrame:
+    """A table with one row for each turn, of any declared layout that lists turns, as format_chats gives records: (key, fingerprint,
+    layout, formatted, loss_runs).
+
+    The schema is the same for all rows, so its field paths are hashed once and select the mapping; no JSON or variant is made, and
+    a conversation may be as long as a string can (2 GB); a longer one is an error. Turns are formatted row by row and then joined in
+    order of (turn number, role, text); a layout without turn numbers in order of (role, text). Null roles and texts are empty, null keys
+    are one conversation, repeated rows are turns each. Fields of no declared layout are an error: select those of the layout.
     """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turn = F.struct(F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"), *_parts(_role(role), text))
-    layout = next(x for x in LAYOUTS if x.name == "turn rows")
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("parts"))
+    layout = layout_of_rows(rows, key)
+    named = [F.col(f"`{n}`") if n else F.lit(0) for n in layout.fields]
+    role, text = F.coalesce(named[0].cast("string"), F.lit("")), F.coalesce(named[1].cast("string"), F.lit(""))
+    turn = F.struct(named[2].cast("bigint").alias("turn"), role.alias("role"), text.alias("text"), *_parts(_role(role), text))
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("parts"))
     return _joined(grouped.withColumns({"fingerprint": F.xxhash64(F.lit(layout.shape)), "layout": F.lit(layout.name)}))
 
 

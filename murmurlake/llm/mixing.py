@@ -52,9 +52,9 @@ def mix(docs: DataFrame, seed: str = "mix", most: int = 2, id_col: str = "doc_id
     """
     docs = docs.withColumn("size", F.col(f"`{size}`") if size else word_count()).drop("source_size", "target", "copies", "taken")
     sizes = written(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
-    plan = written(source_targets(sizes, most=most, **targets).withColumn("has", F.col("source").isNotNull()).withColumn("key", F.coalesce("source", F.lit(""))).drop("source"))
-    keyed = docs.withColumns({"has": F.col("source").isNotNull(), "key": F.coalesce("source", F.lit(""))})
-    out = guarded_join(keyed, plan, ["has", "key"]).drop("has", "key")
+    plan = written(source_targets(sizes, most=most, **targets).withColumn("_mix_has", F.col("source").isNotNull()).withColumn("_mix_key", F.coalesce("source", F.lit(""))).drop("source"))
+    keyed = docs.withColumns({"_mix_has": F.col("source").isNotNull(), "_mix_key": F.coalesce("source", F.lit(""))})
+    out = guarded_join(keyed, plan, ["_mix_has", "_mix_key"]).drop("_mix_has", "_mix_key")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
     whole = F.floor(rate)
