@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmurlake.llm import minhash, mixing, packing, substring_tree, toxicity
-from murmurlake.llm.common import WORD_RE, guarded_join, pick, written
+from murmurlake.llm.common import WORD_RE, guarded_join, pick, release, scratch_mark, written
 from murmurlake.llm.queries import table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -86,5 +86,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        mark = scratch_mark()
         docs = written(stage(spark, docs, sf_dir))
+        release(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
