@@ -232,12 +232,12 @@ def tree_hits(paths: DataFrame, window: int, k: int = 8, most: int = 50_000) ->
     for length in sorted({max(1, window - x) for x in (16, 8, 4, 0)}):
         rows = prefix_names(paths, window, length, shorter)
         if before is not None:
-            rows = guarded_join(rows, before, ["before"], "left_semi", max_rows=300_000)
+            rows = guarded_join(rows, before, ["before"], "left_semi")
         nodes = written(rows.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("last"), F.count("*").alias("n")).where("least < last").select("name", "least", "n"))
         if length == window:
-            found.append(guarded_join(rows, nodes.select("name", "least"), ["name"], max_rows=300_000).where("id > least").select("path", "path2", "at"))
+            found.append(guarded_join(rows, nodes.select("name", "least"), ["name"]).where("id > least").select("path", "path2", "at"))
             break
-        routes = guarded_join(rows, nodes.where(F.col("n") <= most).select("name"), ["name"], "left_semi", max_rows=300_000)
+        routes = guarded_join(rows, nodes.where(F.col("n") <= most).select("name"), ["name"], "left_semi")
         found.append(subtree_hits(suffixes(paths, routes, window, length), window, length))
         before, shorter = nodes.where(F.col("n") > most).select(F.col("name").alias("before")), length
         if before.isEmpty():
@@ -263,10 +263,10 @@ def without_repeats(docs: DataFrame, window: int = 50, k: int = 8, id_col: str =
     base = base.withColumn("tag", F.xxhash64("b"))  # tells rows of one id apart by their text
     runs = written(fragments(base, window, k))
     groups = runs.groupBy("selector").agg(F.min("id").alias("d0"), F.max("id").alias("d1")).where("d0 < d1").select("selector")
-    shared = written(guarded_join(runs, written(groups), ["selector"], "left_semi", max_rows=300_000))
+    shared = written(guarded_join(runs, written(groups), ["selector"], "left_semi"))
     paths = written(shared.groupBy("selector", "path", "path2").agg(F.min(F.struct("id", "tag", "start", "length")).alias("first")))
     several = written(paths.groupBy("selector").agg(F.count("*").alias("n")).where("n > 1").select("selector"))
-    wanted = guarded_join(paths, several, ["selector"], "left_semi", max_rows=300_000).select("first.*", "path", "path2")
+    wanted = guarded_join(paths, several, ["selector"], "left_semi").select("first.*", "path", "path2")
     found = finder(written(path_words(base, wanted, window)), window, k)
     hits = found.groupBy("path", "path2").agg(F.sort_array(F.collect_list("at")).alias("hits"))
     known = written(paths.select("path", "path2", F.col("first.id").alias("least")).join(hits, ["path", "path2"], "left"))
