@@ -1,7 +1,6 @@
 """The registry of queries over the driver's tables and their SQL equivalents.
 
-Tables stand in for the domain: documents are texts, conversations are meetings (conv_id, turn, role, with times from text lengths),
-orders are jobs with lineitems as actions and suppliers as assignees, and region/nation/segment is a folder path.
+What tables stand for is told in catalog_base.
 """
 
 from __future__ import annotations
@@ -12,30 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .catalog_base import TODAY, actions, job_rows, recordings, signals, table, utterances
 from .functions import signal
 from .functions import text as tx
 from .operators import align, chunking, gazetteer, jobs, masking, spans, transcript
+from .plans import deidentify
+from .samples import SENTENCES
 from .streaming import live
 
-TODAY = "1998-06-01"
-NAMES = ["Stein", "Leon", "Chen", "Sten", "Anna", "Erik"]
-
-#: Sentences for detectors that the generated documents never trigger.
-FIXTURE = [
-    "Patienten 811228-9874 skrevs in.", "19811228-9874", "811228-9870", "(personnummer 120504-1234,", "ordernr 999999-0000 bokfört", "ref8112289874x",
-    "ring 070-123 45 67 imorgon", "08-123456 7890123", "0701011234", "Diagnos F90.0 samt J45 noterades", "kod ABC12 finns", "Storgatan 3 lgh 12",
-    "Hen bor på Storgatan 12B numera.", "Adressen är Norra Kungsvägen 3.", "Vi gick längs gatan.", "Hen går på Björkskolan i höst.", "Vasagymnasiets rektor ringde.", "Eleven trivs i skolan.",
-    "Besök https://exempel.se/sida. Eller www.test.se, sade hen.", "server 192.168.0.1 svarar", "version 1.2.3.4.5 finns",
-]
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+NAMES = ["Stein", "Leon", "Chen", "Sten", "Anna", "Erik", "Ann", "Ann-Britt", "Anna Berg"]
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, and the fixture sentences under negative ids."""
-    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(FIXTURE)], "doc_id long, text string")
+    """The documents, and the sample sentences under negative ids."""
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(SENTENCES)], "doc_id long, text string")
     return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(rows)
 
 
@@ -50,9 +38,12 @@ def _rule(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = texts(spark, sf_dir)
-    return docs, spans.all_rules(docs).unionByName(spans.listed_spans(docs))
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.analysed(texts(spark, sf_dir))
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masking.spans_of(_analysed(spark, sf_dir)).drop("replacement")
 
 
 def pii_name_spans(spark, sf_dir):
@@ -65,29 +56,53 @@ def pii_name_spans_by_token(spark, sf_dir):
     return spans.token_term_spans(texts(spark, sf_dir), terms, "person", 0.5).select("doc_id", "span_start", "span_end", "text")
 
 
-def pii_place_spans(spark, sf_dir):
-    places = tuple(x for x in spans.TERM_LISTS if x.category == "plats")
-    return spans.listed_spans(texts(spark, sf_dir), places).select("doc_id", "span_start", "span_end", "text")
+def _listed(category: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lists = tuple(x for x in spans.TERM_LISTS if x.category == category)
+        return spans.listed_spans(texts(spark, sf_dir), lists).select("doc_id", "span_start", "span_end", "text", F.col("score").cast("double").alias("score"))
+
+    return query
+
+
+def pii_candidates(spark, sf_dir):
+    """How many candidates each detector gives, before any conflict is settled."""
+    return spans.candidates(texts(spark, sf_dir)).groupBy("category", "source").agg(F.count("*").alias("n"), F.sum("span_start").alias("starts"))
 
 
 def pii_resolved(spark, sf_dir):
-    _, found = _candidates(spark, sf_dir)
-    return masking.resolve(found).select("doc_id", "span_id", "span_start", "span_end", "text", "category", "source")
+    return _kept(spark, sf_dir).select("doc_id", "span_id", "span_start", "span_end", "text", "category", "source")
+
+
+def pii_resolved_by_shuffle(spark, sf_dir):
+    """The same from spans of any origin, which come as rows."""
+    return masking.resolve(spans.candidates(texts(spark, sf_dir))).select("doc_id", "span_id", "span_start", "span_end", "text", "category", "source")
 
 
 def pii_counts(spark, sf_dir):
-    _, found = _candidates(spark, sf_dir)
-    return masking.counts(masking.resolve(found))
+    return masking.counts(_kept(spark, sf_dir))
+
+
+def pii_category_counts(spark, sf_dir):
+    return masking.category_counts(_kept(spark, sf_dir))
+
+
+def pii_active(spark, sf_dir):
+    """Spans of two categories, the first of each document rejected."""
+    kept = _kept(spark, sf_dir)
+    return masking.active(kept, {"person", "epost"}, kept.where("span_id = 0")).select("doc_id", "span_id", "category")
 
 
 def pii_pseudonyms(spark, sf_dir):
-    _, found = _candidates(spark, sf_dir)
-    return masking.pseudonyms(masking.resolve(found)).select("doc_id", "span_id", "text", "replacement")
+    return masking.spans_of(_analysed(spark, sf_dir)).select("doc_id", "span_id", "text", "replacement")
+
+
+def pii_audit(spark, sf_dir):
+    docs = texts(spark, sf_dir)
+    return masking.audit(docs, masking.spans_of(masking.analysed(docs))).select("doc_id", "span_start", "span_end", "original", "replacement", "category", "source")
 
 
 def pii_masked_text(spark, sf_dir):
-    docs, found = _candidates(spark, sf_dir)
-    return masking.masked(docs, masking.pseudonyms(masking.resolve(found)))
+    return masking.spliced(_analysed(spark, sf_dir))
 
 
 def pii_masked_mail_ip(spark, sf_dir):
@@ -97,8 +112,7 @@ def pii_masked_mail_ip(spark, sf_dir):
 
 
 def pii_render_segments(spark, sf_dir):
-    docs, found = _candidates(spark, sf_dir)
-    return masking.render_segments(docs, masking.resolve(found))
+    return masking.render_segments(_analysed(spark, sf_dir))
 
 
 def _paras(docs: DataFrame) -> DataFrame:
@@ -107,29 +121,25 @@ def _paras(docs: DataFrame) -> DataFrame:
 
 
 def pii_paragraph_masked(spark, sf_dir):
-    docs, found = _candidates(spark, sf_dir)
-    return masking.masked_paragraphs(docs, _paras(docs), masking.resolve(found))
+    docs = texts(spark, sf_dir)
+    return masking.masked_paragraphs(docs, _paras(docs), _kept(spark, sf_dir))
 
 
-def pii_manual_mask(spark, sf_dir):
-    docs, found = _candidates(spark, sf_dir)
-    manual = docs.where("text IS NOT NULL AND length(text) >= 12").select("doc_id", F.lit(4).alias("span_start"), F.lit(12).alias("span_end"), F.substr("text", F.lit(5), F.lit(8)).alias("text"), F.lit("egen").alias("category"))
-    return masking.resolve(spans.with_manual(found, manual)).select("doc_id", "span_id", "span_start", "span_end", "category", "source")
+def pii_segments_masked(spark, sf_dir):
+    """Utterances, analysed as one text for each meeting."""
+    return deidentify.deidentified_segments(utterances(spark, sf_dir).select("meeting_id", "idx", "text")).select("doc_id", F.col("para").cast("int").alias("para"), "masked_text", "n_spans")
 
 
-def pii_rejected_filter(spark, sf_dir):
-    _, found = _candidates(spark, sf_dir)
-    kept = masking.resolve(found)
-    rejected = kept.groupBy("doc_id").agg(F.min("span_id").alias("span_id"))
-    return masking.pseudonyms(masking.accepted(kept, rejected)).select("doc_id", "span_id", "replacement")
+def pii_manual_mask(spark, sf_dir):
+    docs = texts(spark, sf_dir)
+    marks = docs.where("text IS NOT NULL AND length(text) >= 12").select("doc_id", F.lit(4).alias("span_start"), F.lit(12).alias("span_end"), F.lit("egen").alias("category"), F.lit(" ").alias("custom"))
+    found = spans.with_manual(_kept(spark, sf_dir).withColumns({"detector_ord": F.lit(0), "emit_ord": F.col("span_id")}), spans.manual_spans(docs, marks).drop("custom"))
+    return masking.resolve(found).select("doc_id", "span_id", "span_start", "span_end", "category", "source")
 
 
-def utterances(spark, sf_dir) -> DataFrame:
-    """Conversations as timed rows: 15 characters a second."""
-    rows = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").select(F.col("conv_id").alias("meeting_id"), F.col("turn").cast("int").alias("idx"), F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    w = Window.partitionBy("meeting_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    chars = F.sum(F.length("text")).over(w)
-    return rows.withColumns({"start": (chars - F.length("text")) / 15.0, "end": chars / 15.0}).withColumn("name", F.initcap("speaker"))
+def pii_rejected_filter(spark, sf_dir):
+    kept = _kept(spark, sf_dir)
+    return masking.pseudonyms(masking.accepted(kept, kept.where("span_id = 0"))).select("doc_id", "span_id", "replacement")
 
 
 def transcript_text(spark, sf_dir):
@@ -197,22 +207,6 @@ def chunk_count(spark, sf_dir):
     return chunking.chunks(table(spark, sf_dir, "documents"), 1000).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
 
 
-def job_rows(spark, sf_dir) -> DataFrame:
-    """Orders as jobs: nested actions from line items, folder from region, nation and market segment."""
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    place = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
-    folders = c.join(F.broadcast(place), c["c_nationkey"] == place["n_nationkey"]).select("c_custkey", "c_name", F.concat_ws("/", "r_name", "n_name", "c_mktsegment").alias("category"))
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", action_struct().alias("a"))
-    each = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "a"))).alias("s")).select("l_orderkey", F.transform("s", lambda x: x.a).alias("actions"))
-    rows = o.join(folders, o["o_custkey"] == folders["c_custkey"]).join(each, o["o_orderkey"] == each["l_orderkey"], "left")
-    return rows.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"), "category", F.col("o_orderdate").cast("date").cast("string").alias("updated_at"), F.col("o_orderstatus").alias("summary"), F.col("o_orderpriority").alias("notes"), "actions", F.col("o_totalprice").alias("price"))
-
-
-def action_struct():
-    return F.struct(F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("text"), (F.col("l_linestatus") == "F").alias("done"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("assignee"), F.col("l_shipdate").cast("date").cast("string").alias("due"))
-
-
 def jobs_listing(spark, sf_dir):
     return jobs.listing(job_rows(spark, sf_dir)).select("id", "title", "category", "updated_at", F.col("n_actions").cast("long").alias("n_actions"), F.col("n_done").cast("long").alias("n_done"), "has_notes")
 
@@ -235,31 +229,25 @@ def jobs_upsert_category(spark, sf_dir):
     return jobs.upserted(old, new)
 
 
-def _actions(spark, sf_dir) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    tasks = p.select(F.col("p_partkey").alias("id"), F.lit("Egna").alias("category"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("text"), (F.col("p_size") % 2 == 0).alias("done"), F.lit(None).cast("string").alias("assignee"), F.lit("snart").alias("due"))
-    return jobs.all_actions(job_rows(spark, sf_dir), tasks)
-
-
 def actions_union(spark, sf_dir):
-    return _actions(spark, sf_dir).select("job_id", F.col("idx").cast("long").alias("idx"), "project", "text", "done", "assignee", "due")
+    return actions(spark, sf_dir).select("job_id", F.col("idx").cast("long").alias("idx"), "project", "text", "done", "assignee", "due")
 
 
 def actions_due_state(spark, sf_dir):
-    return _actions(spark, sf_dir).groupBy(jobs.due_state(F.col("due"), F.lit(TODAY).cast("date")).alias("state")).agg(F.count("*").alias("n"))
+    return actions(spark, sf_dir).groupBy(jobs.due_state(F.col("due"), F.lit(TODAY).cast("date")).alias("state")).agg(F.count("*").alias("n"))
 
 
 def actions_counts(spark, sf_dir):
-    return jobs.action_counts(_actions(spark, sf_dir), F.lit(TODAY).cast("date"))
+    return jobs.action_counts(actions(spark, sf_dir), F.lit(TODAY).cast("date"))
 
 
 def actions_filtered(spark, sf_dir):
-    rows = _actions(spark, sf_dir).where((~F.col("done")) & F.startswith("category", F.lit("EUROPE/")) & jobs.due_state(F.col("due"), F.lit(TODAY).cast("date")).isin("today", "soon"))
+    rows = actions(spark, sf_dir).where((~F.col("done")) & F.startswith("category", F.lit("EUROPE/")) & jobs.due_state(F.col("due"), F.lit(TODAY).cast("date")).isin("today", "soon"))
     return rows.select("job_id", F.col("idx").cast("long").alias("idx"), "assignee", "due")
 
 
 def actions_grouped(spark, sf_dir):
-    return jobs.grouped_actions(_actions(spark, sf_dir)).select("grp", "n", F.md5("texts").alias("texts_md5"))
+    return jobs.grouped_actions(actions(spark, sf_dir)).select("grp", "nth", "text")
 
 
 def folder_ancestors(spark, sf_dir):
@@ -285,26 +273,17 @@ def text_corrections(spark, sf_dir):
     return docs.select("doc_id", F.md5(transcript.corrected(F.col("text"), "the=>DE\nof->AV")).alias("text_md5"))
 
 
-def _signals(spark, sf_dir) -> DataFrame:
-    """Each user's event values as two signals, of even and odd event ids, in order of the id."""
-    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("user_id", F.struct("event_id", (F.col("value") / 100.0).alias("v")).alias("s"), (F.col("event_id") % 2).alias("odd"))
-    part = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("odd") == k, F.col("s")))), lambda x: x.v)
-    return e.groupBy("user_id").agg(part(0).alias("a"), part(1).alias("b"))
-
-
 def signal_levels(spark, sf_dir):
-    return _signals(spark, sf_dir).select("user_id", F.round(signal.rms(F.col("a")), 6).alias("rms"), F.round(signal.peak(F.col("a")), 6).alias("peak"))
+    return signals(spark, sf_dir).select("user_id", F.round(signal.rms(F.col("a")), 6).alias("rms"), F.round(signal.peak(F.col("a")), 6).alias("peak"))
 
 
 def signal_mix(spark, sf_dir):
     mixed = signal.mix(F.col("a"), F.col("b"))
-    return _signals(spark, sf_dir).select("user_id", F.size(mixed).cast("long").alias("n"), F.round(F.aggregate(mixed, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    return signals(spark, sf_dir).select("user_id", F.size(mixed).cast("long").alias("n"), F.round(F.aggregate(mixed, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 def live_batch_chunks(spark, sf_dir):
-    """Each user's values as a recording of 20 samples a second, cut into content-defined chunks."""
-    rows = _signals(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), F.lit(0.0).alias("start_s"), F.concat("a", "b", F.reverse("a"), F.reverse("b")).alias("samples"), F.lit(20).alias("rate"))
-    return live.batch_chunks(rows).select("source", "start_s", F.size("samples").alias("n_samples"))
+    return live.batch_chunks(recordings(spark, sf_dir)).select("source", "start_s", F.size("samples").alias("n_samples"))
 
 
 def json_salvage(spark, sf_dir):
@@ -335,10 +314,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"pii_{n}_spans": _rule(n) for n in ("personnummer", "epost", "telefon", "ip_adress", "url", "icd10", "lagenhet", "gatuadress", "skolnamn")},
+    "pii_diagnosis_spans": _listed("diagnos"), "pii_medicine_spans": _listed("medicin"), "pii_listed_name_spans": _listed("person"), "pii_place_spans": _listed("plats"),
     **{
         f.__name__: f
         for f in (
-            pii_name_spans, pii_name_spans_by_token, pii_place_spans, pii_resolved, pii_counts, pii_pseudonyms, pii_masked_text, pii_masked_mail_ip, pii_render_segments, pii_paragraph_masked, pii_manual_mask, pii_rejected_filter,
+            pii_name_spans, pii_name_spans_by_token, pii_candidates, pii_resolved, pii_resolved_by_shuffle, pii_counts, pii_category_counts, pii_active, pii_pseudonyms, pii_audit, pii_segments_masked, pii_masked_text, pii_masked_mail_ip, pii_render_segments, pii_paragraph_masked, pii_manual_mask, pii_rejected_filter,
             transcript_text, transcript_timed, transcript_srt, transcript_vtt, transcript_speaker_groups, speakers_in_order, align_dominant_speaker, align_relabel, align_merge_timeline,
             align_drop_echo, align_active_utterance, chunk_count, jobs_listing, jobs_recent_topk, jobs_search, jobs_move_folder, jobs_upsert_category, actions_union, actions_due_state,
             actions_counts, actions_filtered, actions_grouped, folder_ancestors, folder_counts, folder_has_children, folder_pending_diff, text_corrections,
@@ -347,4 +327,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     },
 }
 
-from .catalog_sql import ORACLE_SQL  # noqa: E402, F401
+from . import catalog_workspace  # noqa: E402
+from .catalog_sql import ORACLE_SQL as _SQL  # noqa: E402
+
+QUERIES |= catalog_workspace.QUERIES
+ORACLE_SQL = _SQL | catalog_workspace.ORACLE_SQL

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import find_all, normal_form
-from .spans import LABELS, PRIORITY
+from .spans import LABELS, PRIORITY, RULES, TERM_LISTS, TermList, TermMatcher, listed_terms, rule_array
 
 SPAN = "struct<p:int,n:int,s:int,d:int,o:int,e:int,text:string,category:string,source:string,score:float>"
 
@@ -36,6 +41,79 @@ def resolve(spans: DataFrame, enabled: set[str] | None = None) -> DataFrame:
     return out.select("doc_id", "span_id", F.col("k.s").alias("span_start"), F.col("k.e").alias("span_end"), "k.text", "k.category", "k.source", "k.score")
 
 
+KEPT = "array<struct<span_id:int,span_start:int,span_end:int,text:string,category:string,source:string,score:float,replacement:string>>"
+_KEPT = pa.list_(pa.struct([("span_id", pa.int32()), ("span_start", pa.int32()), ("span_end", pa.int32()), ("text", pa.string()), ("category", pa.string()), ("source", pa.string()), ("score", pa.float32()), ("replacement", pa.string())]))
+
+
+def without_overlaps(found: list[dict]) -> list[dict]:
+    """resolve() for the candidates of one document, by start: kept spans are held in order, so each is tested against two."""
+    key = lambda x: (-PRIORITY[x["source"]], -len(x["text"].encode("utf-8", "surrogatepass")), x["span_start"], x["detector_ord"], x["emit_ord"])
+    starts: list[int] = []
+    kept: list[dict] = []
+    for x in sorted(found, key=key):
+        at = bisect.bisect_left(starts, x["span_start"])
+        if x["span_end"] > x["span_start"] and not (at and kept[at - 1]["span_end"] > x["span_start"]) and not (at < len(kept) and starts[at] < x["span_end"]):
+            starts.insert(at, x["span_start"])
+            kept.insert(at, x)
+    return kept
+
+
+def numbered(kept: list[dict]) -> list[dict]:
+    """pseudonyms() for one document's disjoint spans in order, without custom replacements."""
+    names: dict[tuple[str, str], str] = {}
+    used: dict[str, int] = {}
+    out = []
+    for i, x in enumerate(kept):
+        form = (x["category"], re.sub(r"\s+", " ", x["text"]).strip(" ").lower())
+        if form not in names:
+            used[form[0]] = used.get(form[0], 0) + 1
+            names[form] = f"{LABELS[form[0]]} {used[form[0]]}"
+        out.append({**{k: x[k] for k in ("span_start", "span_end", "text", "category", "source", "score")}, "span_id": i, "replacement": names[form]})
+    return out
+
+
+def analysed(docs: DataFrame, enabled: set[str] | None = None, lists: tuple[TermList, ...] = TERM_LISTS, terms: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, spans) of (doc_id, text): rules, lists and own terms, resolved and numbered within the row, by one pass.
+
+    Neither a text nor a span leaves its row, so nothing is shuffled. Candidates are those of spans.candidates, the result is that of
+    resolve and pseudonyms. Null texts have no spans.
+    """
+    used = [r for r in RULES if enabled is None or r.category in enabled]
+    known = listed_terms(lists) + ([("own", "egen", True, 1.0, 30, list(terms))] if terms else [])
+    found = F.concat(*[rule_array(F.col("text"), r) for r in used]) if used else rule_array(F.lit(None).cast("string"), RULES[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, names = TermMatcher(known), ("span_start", "span_end", "text", "category", "score", "detector_ord", "emit_ord")
+        for b in batches:
+            out = []
+            for text, rules in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                listed = [{**dict(zip(names, x, strict=True)), "source": "dictionary"} for x in (matcher.spans(text) if text else [])]
+                every = [x for x in [*(rules or []), *listed] if enabled is None or x["category"] in enabled]
+                out.append(numbered(without_overlaps(every)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, _KEPT)], ["doc_id", "text", "spans"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", found.alias("found")).mapInArrow(run, f"doc_id {kind}, text string, spans {KEPT}")
+
+
+def spans_of(rows: DataFrame) -> DataFrame:
+    """analysed() rows to one row for each span."""
+    return rows.select("doc_id", F.inline("spans"))
+
+
+def spliced(rows: DataFrame) -> DataFrame:
+    """analysed() rows to (doc_id, masked_text, n_spans)."""
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["span_end"])
+    piece = lambda x, i: F.concat(F.substr("text", before(i) + 1, x["span_start"] - before(i)), x["replacement"])
+    tail = F.substr("text", F.coalesce(F.get("spans", F.size("spans") - 1)["span_end"], F.lit(0)) + 1)
+    return rows.select("doc_id", F.concat(F.array_join(F.transform("spans", piece), ""), tail).alias("masked_text"), F.size("spans").alias("n_spans"))
+
+
+def audit(docs: DataFrame, replaced: DataFrame) -> DataFrame:
+    """What was replaced by what: (doc_id, span_start, span_end, original, replacement, category, source, score), one row for each splice."""
+    return replaced.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "span_start", "span_end", F.col("text").alias("original"), "replacement", "category", "source", "score")
+
+
 def pseudonyms(resolved: DataFrame) -> DataFrame:
     """resolved plus `replacement`: the category's label and a number by first appearance; equal forms share it.
 
@@ -59,20 +137,61 @@ def masked(docs: DataFrame, replaced: DataFrame) -> DataFrame:
     return docs.join(each, "doc_id", "left").select("doc_id", F.coalesce(F.when(F.col("ps").isNotNull(), text), t).alias("masked_text"), F.coalesce(F.size("ps"), F.lit(0)).alias("n_spans"))
 
 
+def in_paragraphs(spans: DataFrame, paras: DataFrame) -> DataFrame:
+    """spans plus (para, p_start, p_end) of the paragraph that holds them whole, null for none: the last paragraph that begins at or
+    before a span is found by merging both sides into one ordered stream per document."""
+    marks = paras.select("doc_id", F.col("p_start").alias("span_start"), F.lit(0).alias("_kind"), F.struct("para", "p_start", "p_end").alias("_mark"))
+    both = spans.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("doc_id").orderBy("span_start", "_kind", "_mark.para").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_mark", F.last("_mark", ignorenulls=True).over(w)).where("_kind = 1")
+    inside = F.col("span_end") <= F.col("_mark.p_end")
+    return rows.select(*spans.columns, *[F.when(inside, F.col(f"_mark.{c}")).alias(c) for c in ("para", "p_start", "p_end")])
+
+
 def masked_paragraphs(docs: DataFrame, paras: DataFrame, spans: DataFrame) -> DataFrame:
     """paras (doc_id, para, p_start, p_end): each paragraph with the spans that lie inside it, numbered over the document.
 
     A span across two paragraphs is left unmasked in both, takes no number and is counted in dropped_cross_para.
     """
-    inside = spans.join(paras, "doc_id").where("span_start >= p_start AND span_end <= p_end")
-    named = pseudonyms(inside)
+    placed = in_paragraphs(spans, paras)
+    named = pseudonyms(placed.where("para IS NOT NULL"))
     local = named.select("doc_id", "para", (F.col("span_start") - F.col("p_start")).alias("span_start"), (F.col("span_end") - F.col("p_start")).alias("span_end"), "replacement")
     texts = docs.join(paras, "doc_id").select(F.struct("doc_id", "para").alias("doc_id"), F.substr("text", F.col("p_start") + 1, F.col("p_end") - F.col("p_start")).alias("text"))
     out = masked(texts, local.withColumn("doc_id", F.struct("doc_id", "para"))).select("doc_id.doc_id", "doc_id.para", "masked_text", "n_spans")
-    lost = spans.groupBy("doc_id").count().join(inside.groupBy("doc_id").agg(F.count("*").alias("k")), "doc_id", "left").select("doc_id", (F.col("count") - F.coalesce("k", F.lit(0))).alias("dropped_cross_para"))
+    lost = placed.where("para IS NULL").groupBy("doc_id").agg(F.count("*").alias("dropped_cross_para"))
     return out.join(lost, "doc_id", "left").fillna(0, ["dropped_cross_para"])
 
 
+def joined_paragraphs(segments: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Segments (key, idx, text) of each document as one text, joined by line ends with none at the end, and the paragraphs
+    (doc_id, para, p_start, p_end) that they are in it; null texts are empty."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    w = Window.partitionBy(key).orderBy("idx")
+    end = F.sum(F.length(body) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    paras = segments.select(F.col(key).alias("doc_id"), (F.row_number().over(w) - 1).alias("para"), (end - F.length(body)).cast("int").alias("p_start"), end.cast("int").alias("p_end"))
+    texts = segments.groupBy(F.col(key).alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", body.alias("b")))), lambda x: x.b), "\n").alias("text"))
+    return texts, paras
+
+
+def active(spans: DataFrame, enabled: set[str], rejected: DataFrame | None = None) -> DataFrame:
+    """Spans that apply: manual ones and those of enabled categories, without the (doc_id, span_id) rejected."""
+    rows = spans.where((F.col("source") == "manual") | F.col("category").isin(*enabled))
+    return rows if rejected is None else accepted(rows, rejected)
+
+
+def category_counts(spans: DataFrame) -> DataFrame:
+    """(category, n) over all documents."""
+    return spans.groupBy("category").agg(F.count("*").alias("n"))
+
+
+def paragraph_speakers(paras: DataFrame, utterances: DataFrame, labels: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """paras (key, para) plus `speaker`: the label, else the name, of the utterance with that index; null for none."""
+    rows = utterances.select(key, F.col("idx").alias("para"), F.col("speaker"))
+    if labels is not None:
+        rows = rows.join(labels.select(key, "speaker", "label"), [key, "speaker"], "left").withColumn("speaker", F.coalesce("label", "speaker")).drop("label")
+    return paras.join(rows, [key, "para"], "left")
+
+
 def accepted(resolved: DataFrame, rejected: DataFrame) -> DataFrame:
     """resolved without the (doc_id, span_id) that a reviewer rejected."""
     return resolved.join(rejected, ["doc_id", "span_id"], "left_anti")
@@ -82,17 +201,16 @@ def counts(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("doc_id", _lookup(LABELS, F.col("category")).alias("label")).agg(F.count("*").alias("n"))
 
 
-def render_segments(docs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(doc_id, seg_start, seg_end, text, span_id, word): spans and, between them, alternating words and white space."""
-    piece = F.struct(F.col("span_start").alias("s"), F.col("span_end").alias("e"), F.col("span_id").alias("id"))
-    each = docs.where("text IS NOT NULL").join(resolved.groupBy("doc_id").agg(F.array_sort(F.collect_list(piece)).alias("ps")), "doc_id", "left")
-    each = each.withColumn("ps", F.coalesce("ps", F.array().cast("array<struct<s:int,e:int,id:int>>")))
-    n, prev = F.size("ps"), lambda i: F.coalesce(F.get(F.col("ps"), i - 1)["e"], F.lit(0))
-    gaps = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == 0, 0).otherwise(prev(i)).alias("s"), F.coalesce(F.get(F.col("ps"), i)["s"], F.length("text")).alias("e")))
-    plain = each.select("doc_id", "text", F.explode(gaps).alias("g")).where("g.e > g.s")
+def render_segments(rows: DataFrame) -> DataFrame:
+    """analysed() rows, or rows (doc_id, text, spans) like them, to (doc_id, seg_start, seg_end, text, span_id, word): spans and, between
+    them, alternating words and white space. A row is rendered in itself."""
+    rows = rows.where("text IS NOT NULL")
+    prev = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["span_end"])
+    gaps = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: F.struct(prev(i).alias("s"), F.coalesce(F.get("spans", i)["span_start"], F.length("text")).alias("e")))
+    plain = rows.select("doc_id", "text", F.explode(F.filter(gaps, lambda g: g["e"] > g["s"])).alias("g"))
     plain = plain.select("doc_id", F.col("g.s").alias("at"), F.explode(find_all(F.substr("text", F.col("g.s") + 1, F.col("g.e") - F.col("g.s")), r"(?U:\s+|\S+)")).alias("m"))
     plain = plain.select("doc_id", (F.col("at") + F.col("m.start")).alias("seg_start"), (F.col("at") + F.col("m.end")).alias("seg_end"), F.col("m.text").alias("text"), F.lit(None).cast("int").alias("span_id"), F.col("m.text").rlike(r"(?U)^\S").alias("word"))
-    own = resolved.select("doc_id", F.col("span_start").alias("seg_start"), F.col("span_end").alias("seg_end"), "text", "span_id", F.lit(True).alias("word"))
+    own = spans_of(rows).select("doc_id", F.col("span_start").alias("seg_start"), F.col("span_end").alias("seg_end"), "text", "span_id", F.lit(True).alias("word"))
     return plain.unionByName(own)
 
 

@@ -7,10 +7,12 @@ it is gone, and no shorter one is tried.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -139,22 +141,16 @@ def term_spans(docs: DataFrame, terms: list[str], category: str, ignore_case: bo
     return rule_spans(docs, Rule("terms", pattern, category, float(score)), text).withColumns({"source": F.lit("dictionary"), "detector_ord": F.lit(ord_)}) if listed else rule_spans(docs, RULES[0], text).limit(0)
 
 
-def token_term_spans(docs: DataFrame, terms: DataFrame, category: str, score: float, ord_: int = TERM_ORD, max_terms: int = 50_000) -> DataFrame:
-    """Long lists of single-word, case-sensitive terms (term): an equi-join on the texts' distinct words, instead of a long
-    alternation; only terms that a text has are then located in it."""
+def token_term_spans(docs: DataFrame, terms: DataFrame, category: str, score: float, ord_: int = TERM_ORD, max_terms: int = 500_000) -> DataFrame:
+    """Long lists of case-sensitive terms (term), of one word or several: one pass over each text with an automaton of all terms.
+
+    As term_spans: leftmost and longest first, and a longest match that fails the word test is consumed. More than max_terms are an
+    error, for every task holds the automaton; the list is counted first.
+    """
     listed = terms.select(F.trim("term").alias("term")).where("term <> ''").distinct()
-    small = F.broadcast(listed) if listed.limit(max_terms + 1).count() <= max_terms else listed
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ALNUM}+)")))).alias("term"))
-    hits = words.join(small, "term", "left_semi").groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
-    rows = docs.join(hits, "doc_id").select("doc_id", F.col("text").alias("whole"), F.explode("terms").alias("term"))
-    gaps = F.split("whole", F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E")), -1)
-    rows = rows.select("doc_id", "whole", "term", F.posexplode(F.slice(running_lengths(gaps), F.lit(2), F.size(gaps))).alias("i", "gap"))
-    start = (F.col("gap") + F.col("i") * F.length("term")).cast("int")
-    end = start + F.length("term")
-    return rows.where(free_before(F.col("whole"), start) & free_after(F.col("whole"), end)).select(
-        "doc_id", start.alias("span_start"), end.alias("span_end"), F.col("term").alias("text"), F.lit(category).alias("category"),
-        F.lit("dictionary").alias("source"), F.lit(score).cast("float").alias("score"), F.lit(ord_).alias("detector_ord"), F.col("i").alias("emit_ord"),
-    )
+    if listed.limit(max_terms + 1).count() > max_terms:
+        raise ValueError(f"more than {max_terms} terms: split the list")
+    return matched_spans(docs, [("terms", category, False, float(score), ord_, [r.term for r in listed.collect()])])
 
 
 @dataclass(frozen=True)
@@ -179,35 +175,89 @@ TERM_LISTS = (
 )
 
 
-def _ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+class TermMatcher:
+    """Whole-word occurrences of listed terms in a text: leftmost and longest first within a list, each range of a category once.
 
+    lists: (name, category, ASCII case folded, score, detector order, terms). A longest match that fails the word test is consumed;
+    its beginnings are not tried. All lists share two automata, one over the text and one over its ASCII-lower-cased form.
+    """
 
-def listed_spans(docs: DataFrame, lists: tuple[TermList, ...] = TERM_LISTS) -> DataFrame:
-    """Whole-word occurrences of all terms of the lists, leftmost and longest first within a list; one range of a category once.
+    def __init__(self, lists: list[tuple]):
+        import ahocorasick
+        import regex
+
+        self.lists, self.word = lists, regex.compile(r"[\p{Alphabetic}\p{N}]")
+        self.automata = []
+        for fold in (False, True):
+            owners: dict[str, list[int]] = {}
+            for i, (_, _, folded, _, _, terms) in enumerate(lists):
+                if folded == fold:
+                    for t in {self.lower(x.strip()) if fold else x.strip() for x in terms if x.strip()}:
+                        owners.setdefault(t, []).append(i)
+            automaton = ahocorasick.Automaton()
+            for t, own in owners.items():
+                automaton.add_word(t, (len(t), own))
+            if owners:
+                automaton.make_automaton()
+            self.automata.append((fold, automaton if owners else None))
+
+    @staticmethod
+    def lower(text: str) -> str:
+        return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+    def free(self, text: str, start: int, end: int) -> bool:
+        return not (start and self.word.match(text[start - 1])) and not (end < len(text) and self.word.match(text[end]))
+
+    def spans(self, text: str) -> list[tuple[int, int, str, str, float, int, int]]:
+        """(start, end, text, category, score, detector order, order of emission) in order of detectors and starts."""
+        met: dict[int, list[tuple[int, int]]] = {}
+        for fold, automaton in self.automata:
+            if automaton is not None:
+                for last, (n, own) in automaton.iter(self.lower(text) if fold else text):
+                    for i in own:
+                        met.setdefault(i, []).append((last + 1 - n, -last - 1))
+        out, seen = [], set()
+        for i in sorted(met, key=lambda i: (self.lists[i][4], i)):
+            _, category, _, score, ord_, _ = self.lists[i]
+            at = 0
+            for nth, (start, end) in enumerate(sorted(met[i])):
+                if start < at:
+                    continue
+                at = -end
+                if self.free(text, start, at) and (start, at, category) not in seen:
+                    seen.add((start, at, category))
+                    out.append((start, at, text[start:at], category, score, ord_, nth))
+        return out
+
+
+def listed_terms(lists: tuple[TermList, ...] = TERM_LISTS) -> list[tuple]:
+    return [(x.name, x.category, x.ignore_case, float(x.score), x.ord_, x.terms()) for x in lists]
+
+
+def matched_spans(docs: DataFrame, lists: list[tuple]) -> DataFrame:
+    """Spans of TermMatcher over (doc_id, text): one pass, nothing is shuffled. Null texts give no spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = TermMatcher(lists)
+        for b in batches:
+            row, found = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                got = matcher.spans(text) if text else []
+                row += [i] * len(got)
+                found += got
+            if found:
+                start, end, text, category, score, ord_, nth = zip(*found, strict=True)
+                source = ["dictionary"] * len(found)
+                cols = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(text), pa.array(category), pa.array(source), pa.array(score, pa.float32()), pa.array(ord_, pa.int32()), pa.array(nth, pa.int32())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *cols], list(COLUMNS))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + _ROW[7:-1].replace(":", " ").replace(",", ", "))
 
-    An equi-join of the texts' distinct words with the terms' first words; only terms whose first word a text has are located
-    in it. A term may have several words.
-    """
-    rows = [(t, x.name, x.category, x.ignore_case, float(x.score), x.ord_) for x in lists for t in x.terms()]
-    terms = docs.sparkSession.createDataFrame(rows, "term string, listed string, category string, fold boolean, score double, detector_ord int")
-    terms = terms.withColumn("term", F.when(F.col("fold"), _ascii_lower(F.col("term"))).otherwise(F.col("term"))).withColumn("key", F.regexp_extract("term", f"^{ALNUM}+", 0)).distinct()
-    own = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ALNUM}+)")))
-    words = docs.select("doc_id", F.explode(own).alias("key")).withColumn("fold", F.explode(F.array(F.lit(False), F.lit(True))))
-    words = words.withColumn("key", F.when(F.col("fold"), _ascii_lower(F.col("key"))).otherwise(F.col("key")))
-    term = F.struct("term", "listed", "category", "fold", "score", "detector_ord")
-    hits = words.join(F.broadcast(terms), ["key", "fold"]).groupBy("doc_id").agg(F.collect_set(term).alias("terms"))
-    found = docs.join(hits, "doc_id").select("doc_id", F.col("text").alias("whole"), F.explode("terms").alias("t")).select("doc_id", "whole", "t.*")
-    gaps = F.split(F.when(F.col("fold"), _ascii_lower(F.col("whole"))).otherwise(F.col("whole")), F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E")), -1)
-    found = found.withColumn("gaps", gaps).where(F.size("gaps") > 1).select("*", F.posexplode(F.slice(running_lengths(F.col("gaps")), F.lit(2), F.size("gaps"))).alias("emit_ord", "gap"))
-    start = (F.col("gap") + F.col("emit_ord") * F.length("term")).cast("int")
-    found = found.withColumn("span_start", start).withColumn("span_end", F.col("span_start") + F.length("term"))
-    found = found.where(free_before(F.col("whole"), F.col("span_start")) & free_after(F.col("whole"), F.col("span_end")))
-    found = found.withColumn("text", F.substr("whole", F.col("span_start") + 1, F.length("term"))).drop("whole", "gaps")
-    before = Window.partitionBy("doc_id", "listed").orderBy("span_start", F.col("span_end").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("reach", F.max("span_end").over(before)).where("reach IS NULL OR reach <= span_start")
-    once = found.groupBy("doc_id", "span_start", "span_end", "text", "category", F.col("score").cast("float").alias("score"), "detector_ord").agg(F.min("emit_ord").alias("emit_ord"))
-    return once.withColumn("source", F.lit("dictionary")).select(*COLUMNS)
+
+def listed_spans(docs: DataFrame, lists: tuple[TermList, ...] = TERM_LISTS) -> DataFrame:
+    """Whole-word occurrences of all terms of the lists, leftmost and longest first within a list; one range of a category once."""
+    return matched_spans(docs, listed_terms(lists))
 
 
 def same_range_once(spans: DataFrame) -> DataFrame:
@@ -228,13 +278,24 @@ def literal_spans(docs: DataFrame, proposals: DataFrame) -> DataFrame:
     )
 
 
+def manual_spans(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """marks (doc_id, span_start, span_end, category, custom) with the text that they stand for; a range that is empty or reaches
+    outside its text is an error, a blank custom replacement is none."""
+    rows = marks.join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    ok = (F.col("span_start") >= 0) & (F.col("span_start") < F.col("span_end")) & (F.col("span_end") <= F.length("whole"))
+    surface = F.substr("whole", F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
+    text = F.when(F.coalesce(ok, F.lit(False)), surface).otherwise(F.raise_error(F.concat(F.lit("no such range in document "), F.col("doc_id").cast("string"))))
+    return rows.select("doc_id", "span_start", "span_end", text.alias("text"), "category", F.when(F.trim("custom") != "", F.col("custom")).alias("custom"))
+
+
 def with_manual(spans: DataFrame, manual: DataFrame) -> DataFrame:
     """manual (doc_id, span_start, span_end, text, category): each replaces all spans that it overlaps."""
     m = manual.select("doc_id", F.col("span_start").alias("ms"), F.col("span_end").alias("me"))
     hit = (spans["doc_id"] == m["doc_id"]) & (spans["span_start"] < m["me"]) & (m["ms"] < spans["span_end"])
     rest = spans.join(m, hit, "left_anti")
     new = manual.withColumns({"source": F.lit("manual"), "score": F.lit(1.0).cast("float"), "detector_ord": F.lit(99), "emit_ord": F.lit(0)})
-    return rest.select(*COLUMNS).unionByName(new.select(*COLUMNS))
+    more = ["custom"] if "custom" in manual.columns else []
+    return rest.select(*COLUMNS).unionByName(new.select(*COLUMNS, *more), allowMissingColumns=True)
 
 
 def model_label(raw: Column) -> Column:
@@ -262,6 +323,64 @@ def joined_token_spans(docs: DataFrame, tags: DataFrame) -> DataFrame:
     return out.select("doc_id", "span_start", "span_end", F.substr("whole", F.col("span_start") + 1, F.col("span_end") - F.col("span_start")).alias("text"), "category")
 
 
+def capital_stub(tokens: list[str]) -> list[list[float]]:
+    """Stands for a tagger where no weights are at hand: logits of (O, PER) for the two marks at the ends and each token between."""
+    return [[1.0, 0.0], *[[0.0, 1.0] if t[:1].isupper() else [1.0, 0.0] for t in tokens], [1.0, 0.0]]
+
+
+def token_tags(docs: DataFrame, logits: Callable[[list[str]], list[list[float]]] = capital_stub, labels: tuple[str, ...] = ("O", "PER"), window: int = 510, token: str = r"[^\W_]+|[^\w\s]|_") -> DataFrame:
+    """(doc_id, ord, category, s, e) from a tagger: tokens in windows of `window` without overlap, in each the label of the greatest
+    logit at each position, the first on ties; the window's two end marks, tokens without length and labels of no category go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, ords, label, s, e = [], [], [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                met = list(re.finditer(token, text or ""))
+                for lo in range(0, len(met), window):
+                    part = met[lo : lo + window]
+                    scores = logits([m[0] for m in part])[1:-1]
+                    for nth, (m, x) in enumerate(zip(part, scores, strict=True), lo):
+                        if m.end() > m.start():
+                            row.append(i)
+                            ords.append(nth)
+                            label.append(labels[x.index(max(x))])
+                            s.append(m.start())
+                            e.append(m.end())
+            cols = [pa.array(ords, pa.int32()), pa.array(label, pa.string()), pa.array(s, pa.int32()), pa.array(e, pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *cols], ["doc_id", "ord", "label", "s", "e"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    tags = docs.where(F.trim("text") != "").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ord int, label string, s int, e int")
+    return tags.withColumn("category", model_label(F.col("label"))).where("category IS NOT NULL").select("doc_id", "ord", "category", "s", "e")
+
+
+def model_spans(docs: DataFrame, **tagger) -> DataFrame:
+    """token_tags joined to spans, as candidates."""
+    found = joined_token_spans(docs, token_tags(docs, **tagger))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("span_start", "span_end"))
+    return found.withColumns({"source": F.lit("model"), "score": F.lit(1.0).cast("float"), "detector_ord": F.lit(MODEL_ORD), "emit_ord": order}).select(*COLUMNS)
+
+
+#: The categories that only a tagger finds or can find.
+MODEL_CATEGORIES = ("person", "plats", "organisation", "tid", "handelse")
+
+
+def candidates(docs: DataFrame, enabled: set[str] | None = None, lists: tuple[TermList, ...] = TERM_LISTS, terms: list[str] | None = None, tagger: dict | None = None, proposals: DataFrame | None = None, use_ai: bool = False) -> DataFrame:
+    """All candidate spans. Rules and lists always run; the tagger does if one is given and one of its categories is enabled;
+    language-model proposals count only with use_ai, and then must be given."""
+    found = all_rules(docs, enabled).unionByName(listed_spans(docs, lists))
+    if terms:
+        found = found.unionByName(term_spans(docs, terms, "egen", ignore_case=True, ord_=30))
+    if tagger is not None and (enabled is None or enabled & set(MODEL_CATEGORIES)):
+        found = found.unionByName(model_spans(docs, **tagger))
+    if use_ai:
+        if proposals is None:
+            raise ValueError("use_ai needs proposals: no model is at hand")
+        found = found.unionByName(literal_spans(docs, proposals))
+    return found
+
+
 def salvaged_strings(raw: Column) -> Column:
     """Strings of the JSON list inside a model's answer; of a broken list the quoted literals of two letters or more."""
     inner = F.regexp_extract(raw, r"(?s)\[.*\]", 0)

@@ -1,5 +1,9 @@
+import pytest
+
 from murmurlake import catalog
 from murmurlake.operators import spans
+from murmurlake.samples import SENTENCES
+from murmurlake.sources import readers
 from murmurlake.plans import deidentify
 
 
@@ -10,7 +14,7 @@ def small_documents(spark, folder):
 
 
 def test_segments_of_every_document(spark, tmp_path):
-    texts = small_documents(spark, tmp_path) | {-1 - i: t for i, t in enumerate(catalog.FIXTURE)}
+    texts = small_documents(spark, tmp_path) | {-1 - i: t for i, t in enumerate(SENTENCES)}
     got = {}
     for r in catalog.pii_render_segments(spark, str(tmp_path)).collect():
         got.setdefault(r.doc_id, []).append((r.seg_start, r.text))
@@ -39,5 +43,26 @@ def test_listed_terms_are_masked(spark, tmp_path):
     assert masked == "Person 1 Person 2 i Plats 1 har Diagnos 1 och Diagnos 2, fick Medicin 1. Person 3 i Plats 2, Diagnos 3; vi add, erik, Malmöbo, Eriks."
     direct = deidentify.deidentified(spark.createDataFrame([(1, TEXT)], "doc_id long, text string")).first()
     assert direct.masked_text == masked
-    places = [r.text for r in catalog.pii_place_spans(spark, str(tmp_path)).collect() if r.doc_id == 1]
+    places = [r.text for r in catalog.QUERIES["pii_place_spans"](spark, str(tmp_path)).collect() if r.doc_id == 1]
     assert sorted(places) == ["Malmö", "Upplands Väsby"]
+
+
+def test_every_query_but_three_has_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"chunk_count", "live_batch_chunks", "live_finalised"}
+    assert not set(catalog.ORACLE_SQL) - set(catalog.QUERIES)
+
+
+def test_segments_agree_over_a_meeting(spark):
+    rows = spark.createDataFrame([(1, 0, "Moa Berg kom."), (1, 1, None), (1, 2, "Berg, Moa och Moa Berg."), (2, 0, "Moa")], "meeting_id long, idx int, text string")
+    got = {(r.doc_id, r.para): r.masked_text for r in deidentify.deidentified_segments(rows).collect()}
+    assert got == {(1, 0): "Person 1 Person 2 kom.", (1, 1): "", (1, 2): "Person 2, Person 1 och Person 1 Person 2.", (2, 0): "Person 1"}
+
+
+def test_exports(spark):
+    docs = spark.createDataFrame([(1, "Moa\nskrev till a@b.se")], "doc_id long, text string")
+    paras = spark.createDataFrame([(1, 0, 0, 3), (1, 1, 4, 21)], "doc_id long, para int, p_start int, p_end int")
+    assert deidentify.exported(docs).first().content == "Person 1\nskrev till E-post 1"
+    lines, _ = readers.docx_paragraphs(bytes(deidentify.exported(docs, paras, "docx").first().content))
+    assert lines == ["Person 1", "skrev till E-post 1"]
+    with pytest.raises(ValueError):
+        deidentify.exported(docs, paras, "pdf")
