@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,3 +89,55 @@ def speaker_groups(rows: DataFrame, key: str = "meeting_id") -> DataFrame:
 
 def default_label(speaker: Column) -> Column:
     return F.regexp_replace(speaker, r"^TALARE_(\d+)$", "Talare $1")
+
+
+def without_speakers(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("speaker", F.lit(None).cast("string"))
+
+
+def rebased(segments: DataFrame, chunks: DataFrame, key: str = "meeting_id") -> DataFrame:
+    """segments (key, chunk, start, end, ...) on the recording's clock: the start of their chunk (key, chunk, start_s) added."""
+    rows = segments.join(chunks.select(key, "chunk", "start_s"), [key, "chunk"])
+    return rows.withColumns({"start": F.col("start") + F.col("start_s"), "end": F.col("end") + F.col("start_s")}).drop("start_s")
+
+
+def active_word(words: DataFrame, times: DataFrame, key: str = "meeting_id") -> DataFrame:
+    """times (key, t) with each word (key, idx, words array<struct<start, end, text>>) that is spoken then: (key, t, idx, pos, word).
+
+    Several words may be; a time without any has no row."""
+    each = words.select(key, "idx", F.posexplode("words").alias("pos", "w")).select(key, "idx", "pos", F.col("w.text").alias("word"), F.col("w.start").alias("r_start"), F.col("w.end").alias("r_end"))
+    cells = F.explode(F.sequence(F.floor(F.col("r_start") / 30.0).cast("long"), F.floor(F.greatest("r_start", "r_end") / 30.0).cast("long")))
+    points = times.select(key, "t").distinct().withColumn("cell", F.floor(F.col("t") / 30.0).cast("long"))
+    return points.join(each.withColumn("cell", cells), [key, "cell"]).where("r_start <= t AND t < r_end").select(key, "t", "idx", "pos", "word")
+
+
+def diarised(recordings: DataFrame, cluster: Callable[[np.ndarray, int], list[tuple[float, float, int]]] | None = None, key: str = "meeting_id") -> DataFrame:
+    """recordings (key, samples, rate) to turns (key, start, end, speaker) from a pluggable clusterer, by start; a negative cluster is
+    cluster 0. Without one a stub that hears a new voice where loudness changes. A recording is one row."""
+    voices = cluster or loudness_stub
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(k, s, e, max(c, 0)) for k, x, r in zip(p[key], p["samples"], p["rate"], strict=True) for s, e, c in sorted(voices(np.asarray(x, dtype=float), int(r)))]
+            yield pd.DataFrame(rows, columns=[key, "start", "end", "speaker"])
+
+    kind = recordings.schema[key].dataType.simpleString()
+    return recordings.select(key, "samples", "rate").mapInPandas(run, f"{key} {kind}, start double, end double, speaker int")
+
+
+#: Seconds below which speech and pauses do not count.
+MIN_ON_S, MIN_OFF_S = 0.3, 0.5
+
+
+def loudness_stub(x: np.ndarray, rate: int, frame_s: float = 0.1, quiet: float = 0.01) -> list[tuple[float, float, int]]:
+    """Stretches of loud frames as turns: pauses under MIN_OFF_S are closed, turns under MIN_ON_S go; cluster 1 is louder than 0.3."""
+    n = max(1, int(frame_s * rate))
+    levels = [float(np.abs(x[i : i + n]).max(initial=0.0)) for i in range(0, len(x), n)]
+    turns: list[list[float]] = []
+    for i, level in enumerate(levels):
+        if level > quiet:
+            if turns and i * frame_s - turns[-1][1] < MIN_OFF_S - 1e-9:
+                turns[-1][1:] = [(i + 1) * frame_s, max(turns[-1][2], level)]
+            else:
+                turns.append([i * frame_s, (i + 1) * frame_s, level])
+    return [(s, e, int(level > 0.3)) for s, e, level in turns if e - s >= MIN_ON_S - 1e-9]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +96,21 @@ def own_terms(lines: DataFrame, text: str = "value") -> DataFrame:
     """(term): entries between line ends, commas and semicolons, trimmed, distinct, in Swedish order."""
     each = lines.select(F.explode(F.split(text, r"[\n,;]+")).alias("term")).select(F.trim("term").alias("term")).where("term <> ''").distinct()
     return each.orderBy(F.collate("term", "sv"))
+
+
+def silence_stub(samples: np.ndarray, rate: int, language: str, translate: bool) -> list[tuple[int, int, bytes]]:
+    """Stands for a recogniser where no weights are at hand: one segment over the whole, in hundredths of a second."""
+    return [(0, int(len(samples) * 100 / rate), f"{language}{' en' if translate else ''} {len(samples)}".encode())] if len(samples) else []
+
+
+def transcribed(recordings: DataFrame, recognise: Callable[[np.ndarray, int, str, bool], list[tuple[int, int, bytes]]] = silence_stub, language: str = "auto", translate: bool = False, key: str = "meeting_id") -> DataFrame:
+    """recordings (key, samples, rate) to (key, idx, start, end, text): a pluggable recogniser's segments, torn characters mended, blank
+    ones left out."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(k, i, *x) for k, s, r in zip(p[key], p["samples"], p["rate"], strict=True) for i, x in enumerate(recognise(np.asarray(s), int(r), language, translate))]
+            yield pd.DataFrame(rows, columns=[key, "idx", "t0", "t1", "bytes"])
+
+    kind = recordings.schema[key].dataType.simpleString()
+    return mended_segments(recordings.select(key, "samples", "rate").mapInPandas(run, f"{key} {kind}, idx int, t0 int, t1 int, bytes binary"), key)

@@ -39,6 +39,16 @@ def as_docx(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, text).mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, content binary")
 
 
+def as_docx_lists(rows: DataFrame, key: str, lines: str) -> DataFrame:
+    """(key, content): a .docx for each list of paragraphs."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({key: p[key], "content": [docx_bytes([x or "" for x in xs]) for xs in p[lines]]})
+
+    return rows.select(key, lines).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, content binary")
+
+
 def wav_bytes(samples, rate: int = 16_000) -> bytes:
     """Mono 16-bit PCM; values are clamped to [-1, 1] and scaled by 32767."""
     import numpy as np

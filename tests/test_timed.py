@@ -1,8 +1,15 @@
+import base64
+import codecs
+import json
+import wave
+import zipfile
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from murmurlake.functions import signal, text
-from murmurlake.operators import align, chunking, gazetteer, jobs, transcript
+from murmurlake.operators import align, chunking, gazetteer, jobs, recognition, transcript
 from murmurlake.sources import readers, writers
 from murmurlake.streaming import live
 
@@ -17,7 +24,7 @@ def test_dominant_speaker(spark):
 
 
 def test_echo(spark):
-    same, other = "vi måste boka ett uppföljningsmöte snart", "det där låter som en bra plan tycker jag"
+    same, other = "nästa vecka ses alla igen här", "jag tar med fika och gamla papper då"
     rows = [(1, 0, 1.0, 4.0, "Mötet", same), (1, 1, 1.3, 4.1, "Jag", same), (1, 2, 5.0, 6.0, "Jag", "ja"), (1, 3, 8.0, 10.0, "Jag", other)]
     got = align.without_echo(spark.createDataFrame(rows, ROWS)).orderBy("idx").collect()
     assert [r.idx for r in got] == [0, 2, 3]
@@ -50,8 +57,18 @@ def test_chunks():
 
 def test_summary_of_parts(spark):
     docs = spark.createDataFrame([(1, "kort"), (2, "\n".join(["rad " * 5] * 20)), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: r.summary for r in chunking.summarized(docs, lambda t: F.concat(F.lit("Q:"), t), most=60, final=40, part=8).collect()}
-    assert got[1] == "Q:kort" and got[3] == "Q:" and got[2].startswith("Q:\n[Del 1]\nQ:rad ra")
+    got = {r.doc_id: r.summary for r in chunking.summarized(docs, "S", generate=lambda p, n: f" {n}:{p[-60:]} ", most=60).collect()}
+    tail = "<|im_end|>\n<|im_start|>assistant\n"
+    assert got[1].startswith(" 1024:") and got[1].strip(" ").endswith("\n\nkort" + tail) and got[3].strip(" ").endswith(":\n\n" + tail)
+    parts = {r.doc_id: r.summary for r in chunking.summarized(docs, "S", generate=lambda p, n: f" {n} {'[Del 1]' + chr(10) + '512 False' + chr(10) * 2 + '[Del 2]' in p} ", most=60).collect()}
+    assert parts == {1: " 1024 False ", 2: " 1024 True ", 3: " 1024 False "}
+    asked = {r.doc_id: r.answer for r in chunking.answered(docs, "Vem?", generate=lambda p, n: f"{n}", most=60).collect()}
+    assert asked == {1: "512", 2: "512", 3: "512"}
+    made = chunking.proposed_actions(docs.where("doc_id = 1"), generate=lambda p, n: "- Ring Moa\n- [ ] Boka rum\n").collect()
+    assert [r.action for r in made] == ["Ring Moa", "Boka rum"]
+    for bad in (("custom", " "), ("okänd", "")):
+        with pytest.raises(ValueError):
+            chunking.structure_of(*bad)
 
 
 def test_folders_and_due(spark):
@@ -82,10 +99,13 @@ def test_signal(spark):
 
 
 def test_utf8_tails():
-    for data, want in [("hej", 0), ("hör", 0), ("h€", 0), ("", 0)]:
-        assert signal.tail_bytes(data.encode()) == want
-    for data, want in [("68C3", 1), ("E2", 2), ("E282", 1), ("F09F98", 1), ("80808080", 0), ("68FF", 0)]:
-        assert signal.tail_bytes(bytes.fromhex(data)) == want
+    """Every cut of a text, against a decoder: as many bytes are lacking as complete the character that was cut."""
+    whole = "å vid ∑ och 𝄞!".encode()
+    for n in range(len(whole) + 1):
+        done = len(codecs.getincrementaldecoder("utf-8")().decode(whole[:n]).encode())
+        following = next(m for m in range(n, len(whole) + 1) if m == n == done or m > n and len(codecs.getincrementaldecoder("utf-8")().decode(whole[:m]).encode()) > done) if done < n else n
+        assert signal.tail_bytes(whole[:n]) == following - n
+    assert signal.tail_bytes(bytes([0x85] * 7)) == signal.tail_bytes(b"ok" + bytes([0xFE])) == 0
 
 
 def test_files(spark, tmp_path):
@@ -106,6 +126,174 @@ def test_files(spark, tmp_path):
     assert readers.read_tasks(spark, str(tmp_path / "none.json")).count() == 0
 
 
+def test_stored_jobs_reach_the_operators(spark, tmp_path):
+    stored = {
+        "version": 1, "id": "a1", "jobType": "transcribe", "title": "Möte", "createdAt": "2024-01-01", "updatedAt": "2024-01-02", "category": "Skola", "summaryDraft": "Kort om fönster",
+        "followup": "Ring Moa", "actions": [{"text": "gör", "done": True, "assignee": "Olle", "due": ""}], "participants": [{"name": "Kim", "role": "rektor"}],
+        "transcript": {"utterances": [{"start": 0.0, "end": 1.0, "speaker": "S", "text": "vi byter lampor", "words": []}], "language": "sv", "model": "m", "diarized": False}, "transcriptionPending": False,
+    }
+    (tmp_path / "a1.json").write_text(json.dumps(stored))
+    found = jobs.from_stored(readers.read_jobs(spark, str(tmp_path)))
+    row = jobs.listing(found).first()
+    assert (row.id, row.updated_at, row.n_actions, row.n_done) == ("a1", "2024-01-02", 1, 1)
+    for query in ("fönster", "ring moa", "OLLE", "rektor", "lampor", "skola"):
+        assert jobs.matching(found, query).count() == 1, query
+    assert jobs.matching(found, "saknas").count() == 0 and jobs.matching(found, " ").count() == 1
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "x.project").write_text(json.dumps({"version": 1, "transcript": stored["transcript"], "speaker_labels": {"S": "Kim"}}))
+    project = readers.read_project(spark, str(tmp_path / "p")).first()
+    assert project.speaker_labels == {"S": "Kim"} and project.transcript.utterances[0].text == "vi byter lampor"
+    (tmp_path / "p" / "y.project").write_text("{}")
+    with pytest.raises(Exception, match="no project file"):
+        readers.read_project(spark, str(tmp_path / "p" / "y.project")).collect()
+
+
+def test_audio_files_have_a_status(spark, tmp_path):
+    def wav(name, width, raw):
+        with wave.open(str(tmp_path / name), "wb") as w:
+            w.setnchannels(1), w.setsampwidth(width), w.setframerate(8000), w.writeframes(raw)
+
+    wav("a.wav", 3, bytes([0, 0, 0x40, 0, 0, 0xC0]))
+    wav("b.wav", 1, bytes([128, 255]))
+    (tmp_path / "c.wav").write_bytes(b"no sound")
+    (tmp_path / "d.ogg").write_bytes(b"x")
+    got = {r.path[-5:]: r for r in readers.read_audio(spark, str(tmp_path)).collect()}
+    assert got["a.wav"].samples == [0.5, -0.5] and [round(x, 2) for x in got["b.wav"].samples] == [0.0, 0.99]
+    assert got["c.wav"].status.startswith("unreadable") and got["d.ogg"].status == "no decoder for this format" and got["d.ogg"].rate is None
+    assert readers.read_wav(spark, str(tmp_path)).count() == 2
+    more = readers.read_audio(spark, str(tmp_path), {"ogg": lambda data: (1000, [0.25] * len(data))}).where("path LIKE '%ogg'").first()
+    assert (more.status, more.rate, more.samples) == ("ok", 1000, [0.25])
+
+
+def test_catalogue_and_recordings(spark, tmp_path):
+    (tmp_path / "qwen2.5-3b.gguf").write_bytes(b"x")
+    assert [r.id for r in readers.model_catalogue(spark, str(tmp_path)).where("downloaded").collect()] == ["qwen2.5-3b"]
+    assert readers.model_catalogue(spark).count() == 8
+    rows = spark.createDataFrame([(1, 1, [0.5]), (1, 0, [0.25, -1.0])], "id long, seq int, samples array<double>")
+    r = readers.encoded_recordings(rows).first()
+    assert r.samples == [0.25, -1.0, 0.5] and np.frombuffer(base64.b64decode(r.payload), "<f4").tolist() == r.samples
+
+
+def test_registers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Skolenhetsnamn;Status\nInternationella Skolan Bro;Aktiv\nAnpassad grundskola;Aktiv\nNorra Friskolan;Vilande\nSkolan i Ån;\nEnord;Aktiv\n")
+    assert [r.term for r in gazetteer.schools(gazetteer.read_register(spark, str(tmp_path / "a.csv"))).collect()] == ["Internationella Skolan Bro", "Skolan i Ån"]
+    (tmp_path / "b.json").write_text('{"n": 1, "Rader": [{"namn": "Lilla Skolan Ek", "Status": null}], "Andra": [{"namn": "Nej Nej"}]}')
+    assert [r.term for r in gazetteer.schools(gazetteer.read_register(spark, str(tmp_path / "b.json"))).collect()] == ["Lilla Skolan Ek"]
+    (tmp_path / "c.csv").write_text("ort,folkmangd\nA,1\n")
+    assert gazetteer.read_register(spark, str(tmp_path / "c.csv")).columns == ["ort", "folkmangd"]
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Förnamn</t></si><si><t>Antal</t></si><si><r><t>MO</t></r><r><t>A</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="inlineStr"><is><t>2023</t></is></c></row><row><c r="B2" t="s"><v>0</v></c><c r="C2" t="s"><v>1</v></c></row><row><c r="B3" t="s"><v>2</v></c><c r="C3"><v>700</v></c></row></sheetData></worksheet>')
+    terms = gazetteer.read_workbook(spark, str(tmp_path / "d.xlsx")).withColumnRenamed("name", "term")
+    assert [r.term for r in gazetteer.clean_terms(gazetteer.both_lists(terms, terms)).collect()] == ["Moa"]
+    lines = gazetteer.list_lines(gazetteer.clean_terms(terms), ["# a", "# b"])
+    assert [r.value for r in lines.collect()] == ["# a", "# b", "", "Moa"]
+
+
+def test_actions_change_by_index(spark):
+    df = spark.createDataFrame([(1, "2024-01-01", [("a", False, "", ""), ("b", False, "", "")]), (2, "2024-01-01", None)], "id long, updated_at string, actions array<struct<text:string,done:boolean,assignee:string,due:string>>")
+    of = lambda rows, i: next((r.updated_at, [(a.text, a.done, a.due) for a in r.actions or []]) for r in rows.collect() if r.id == i)
+    assert of(jobs.action_set(df, 1, 1, "now", text="c", done=True, due="2024-02-02"), 1) == ("now", [("a", False, ""), ("c", True, "2024-02-02")])
+    for idx in (2, -1):
+        with pytest.raises(Exception, match="there is no action"):
+            jobs.action_set(df, 1, idx, "now", text="x").collect()
+        assert of(jobs.action_deleted(df, 1, idx, "now"), 1)[0] == "2024-01-01"
+    assert of(jobs.action_added(df, 2, "now", text="n"), 2) == ("now", [("n", False, "")])
+    assert of(jobs.action_deleted(df, 1, 0, "now"), 1) == ("now", [("b", False, "")])
+    with pytest.raises(Exception, match="there is no job"):
+        jobs.job_by_id(df, 9).collect()
+
+
+def test_forced_cuts_and_every_cut():
+    """Against the definition, sample by sample: quietest frame from 2.5 s on once there are 6 s, at 11 s if there are as many."""
+    rng = np.random.default_rng(3)
+    for seconds in (20, 8, 6, 5):
+        x, rate = rng.normal(size=seconds * 100), 100
+        at = live.cut_point(x, rate)
+        if seconds < 6:
+            assert at is None
+        elif seconds >= 11:
+            assert at == 1100
+        else:
+            frames = [(float(np.sqrt(np.mean(x[i : i + 3] ** 2))), i) for i in range(250, len(x) - 2, 3)]
+            assert at == min(frames)[1]
+
+
+def test_batch_chunks_equal_one_pass(spark):
+    df = spark.createDataFrame(_pieces(), "source string, start_s double, samples array<double>, rate int")
+    df = df.unionByName(spark.createDataFrame([("long", 0.0, np.random.default_rng(1).normal(size=4000).tolist(), 100), ("long", 90.0, [0.5] * 300, 100)], df.schema))
+    want = []
+    for source in ("long", "meeting", "mic"):
+        c = live.Chunker()
+        for r in df.where(F.col("source") == source).orderBy("start_s").collect():
+            want += [(source, round(s, 6), len(x)) for s, x in c.push(r.start_s, r.samples, r.rate)]
+        want += [(source, round(s, 6), len(x)) for s, x in c.flush()]
+    got = sorted((r.source, round(r.start_s, 6), len(r.samples)) for r in live.batch_chunks(df).collect())
+    assert got == sorted(want) and ("long", 0.0, 1100) in got
+
+
+def test_stop_and_recovery(spark):
+    df = spark.createDataFrame(_pieces(), "source string, start_s double, samples array<double>, rate int")
+    both = live.both_sources(df.where("source = 'mic'"), df.where("source = 'meeting'"))
+    assert both.count() == df.count()
+    heard = live.recognised(live.batch_chunks(both), live.energy_stub)
+    late = live.finalised(heard.limit(1), both, live.energy_stub, behind_s=11.0)
+    assert late.count() == heard.count() and live.finalised(heard.limit(1), both, live.energy_stub, behind_s=9.0).count() == 1
+
+    def fails(samples):
+        if len(samples) > 700:
+            raise RuntimeError("too long")
+        return live.energy_stub(samples)
+
+    some = live.recognised(live.batch_chunks(both), fails)
+    sizes = [len(r.samples) for r in live.batch_chunks(both).collect()]
+    assert some.where("failed").count() == sum(n > 700 for n in sizes) and some.count() == len(sizes)
+    assert live.stop_figures(both).first().duration_s == 40.0
+    stubs = live.pending_stubs(spark.createDataFrame([(1, "t", "a.wav", "2024")], "id long, title string, audio_path string, created_at string"))
+    done = spark.createDataFrame([(1, "text", "2025"), (9, "x", "y")], "id long, transcript string, updated_at string")
+    twice = live.recovered(live.recovered(stubs, done), done).collect()
+    assert [(r.transcript, r.transcription_pending, r.updated_at) for r in twice] == [("text", False, "2025")]
+
+
+def test_lag_is_told_once(spark, tmp_path):
+    rows = [("mic", float(i), float(i) + (40.0 if i > 3 else 1.0)) for i in range(8)] + [("meeting", 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "source string, start_s double, now_s double")
+    for i in range(2):
+        df.where(F.col("start_s") % 2 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = live.lag_warnings(stream).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.source for r in spark.table("late").collect()] == ["mic"]
+
+
+def test_voices_and_words(spark):
+    x = [0.1] * 10 + [0.0] * 10 + [0.9] * 8 + [0.0] * 2 + [0.9] * 4 + [0.0] * 20 + [0.5] * 1
+    turns = align.diarised(spark.createDataFrame([(1, x, 10)], "meeting_id long, samples array<double>, rate int")).orderBy("start").collect()
+    assert [(round(r.start, 1), round(r.end, 1), r.speaker) for r in turns] == [(0.0, 1.0, 0), (2.0, 3.4, 1)]
+    negative = align.diarised(spark.createDataFrame([(1, x, 10)], "meeting_id long, samples array<double>, rate int"), lambda x, r: [(1.0, 2.0, -1), (0.0, 1.0, 3)]).collect()
+    assert [(r.start, r.speaker) for r in negative] == [(0.0, 3), (1.0, 0)]
+    heard = recognition.transcribed(spark.createDataFrame([(1, [0.0] * 16, 8), (2, [], 8)], "meeting_id long, samples array<double>, rate int"), language="sv").collect()
+    assert [(r.start, r.end, r.text) for r in heard] == [(0.0, 2.0, "sv 16")]
+
+
+def test_word_cues(spark):
+    words = lambda *ws: [(w, s, e) for w, s, e in ws]
+    rows = [(1, 0, "A", "A", [(0.0, 1.0, "Hej"), (1.0, 2.0, "du")]), (1, 1, None, None, []), (1, 2, "A", "A", [(3.0, 4.0, "Ja")])]
+    df = spark.createDataFrame(rows, "meeting_id long, idx int, speaker string, name string, words array<struct<start:double,end:double,text:string>>")
+    vtt = transcript.as_word_vtt(df).first().vtt
+    assert "A: Hej" in vtt and "\ndu\n" in vtt and "A: Ja" in vtt and words() == []  # a row of nobody lies between
+
+
+def test_edits_drop_words(spark):
+    schema = "meeting_id long, idx int, speaker string, text string, words array<struct<start:double,end:double,text:string>>"
+    df = spark.createDataFrame([(1, 0, "A", "det är bra", [(0.0, 1.0, "det")]), (1, 1, "A", "nej", [(1.0, 2.0, "nej")])], schema)
+    got = {r.idx: (r.text, r.changed, len(r.words)) for r in transcript.with_corrections(df, "bra=>dåligt").collect()}
+    assert got == {0: ("det är dåligt", True, 0), 1: ("nej", False, 1)}
+    with pytest.raises(ValueError):
+        transcript.payload(F.lit("x"), "p", masked=False)
+
+
 def _pieces():
     rng = np.random.default_rng(0)
     rows = []
