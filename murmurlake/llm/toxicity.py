@@ -27,8 +27,8 @@ _LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏοαερνικυ", "aeopc
 _DIGITS = str.maketrans("013457@$", "oieastas")
 #: A digit or sign that begins a word or stands inside one, before a letter, or ends one, after a letter.
 _DISGUISED = re.compile(r"(?<![\d.,:/=_-])[013457@$]{1,2}(?=[^\W\d_])|(?<=[^\W\d_])[013457@$]{1,2}(?![\w@$#%&*])")
-#: Single letters with one blank, dot or dash between them, four or more; a letter three times or more.
-_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*][^\W\d_]){3,}(?![^\W_])")
+#: Four or more words of one letter, once words are single-spaced; a letter three times or more.
+_SPACED = re.compile(r" [^\W\d_](?: [^\W\d_]){3,}(?= )")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _GAPS = re.compile(r"[\W\d_]+")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
@@ -44,8 +44,8 @@ def folded(text: str) -> str:
     if _OTHER_SCRIPT.search(text):
         text = text.translate(_LOOKALIKES)
     text = _DISGUISED.sub(lambda m: m[0].translate(_DIGITS), text)
-    text = _LONG.sub(r"\1", _SPACED.sub(lambda m: m[0][::2], text))
-    return f" {_GAPS.sub(' ', text).strip()} "
+    text = f" {_GAPS.sub(' ', text).strip()} "
+    return _LONG.sub(r"\1", _SPACED.sub(lambda m: " " + m[0].replace(" ", ""), text))
 
 
 @dataclass
