@@ -160,7 +160,7 @@ def nnls_counts(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int
     return x
 
 
-def plan_sequences(counts: np.ndarray, patterns_most: int = 30_000, thresholds: tuple[float, ...] = (0.05, 0.25, 0.5, 1.0)) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+def plan_sequences(counts: np.ndarray, patterns_most: int = 30_000, thresholds: tuple[float, ...] = (0.02, 0.25, 0.5, 1.0)) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """((pattern, repeats) pairs that use up the histogram counts[length], how many sequences of them the fitted patterns make).
 
     No pattern is longer than len(counts) - 1 in sum. Fitted counts are rounded up from a fraction of `threshold` on, as far as the
