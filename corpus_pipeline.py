@@ -36,14 +36,14 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         repeated = guarded_join(texts, again, ["node"], "left_semi", max_rows=200_000).dropDuplicates(["node"])
         texts = guarded_join(texts, again, ["node"], "left_anti", max_rows=200_000).unionByName(repeated)
     found = written(minhash.near_duplicates(texts, k=5, id_col="node").where("n_shingles > 0").select("node", "component_id"))
-    many = found.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = found.join(many, "component_id", "left_semi").select("node", "component_id")
+    many = written(found.groupBy("component_id").count().where("count > 1").select("component_id"))
+    members = guarded_join(found, many, ["component_id"], "left_semi", max_rows=200_000).select("node", "component_id")
     members = written(members.union(found.join(again, "node", "left_semi").select("node", "component_id")).distinct() if repeats else members)
 
     order = ("doc_id", "lang", "source", "n_chars", "node")
     alike = guarded_join(rows.drop("text"), members, ["node"], max_rows=200_000).groupBy("component_id", *order).agg(F.count("*").alias("copies"))
-    stays = alike.groupBy("component_id").agg(F.min(F.struct(*order, "copies")).alias("first")).select(F.col("first.node").alias("node"), "first")
-    marks = written(members.join(stays, "node", "left").select("node", "first"))
+    stays = written(alike.groupBy("component_id").agg(F.min(F.struct(*order, "copies")).alias("first")).select(F.col("first.node").alias("node"), "first"))
+    marks = written(guarded_join(members, stays, ["node"], "left", max_rows=200_000).select("node", "first"))
     own = F.struct(*order[:-1]).eqNullSafe(F.struct(*[F.col(f"first.{c}") for c in order[:-1]]))
     left = guarded_join(rows, marks.withColumn("grouped", F.lit(True)), ["node"], "left", max_rows=200_000).where(F.col("grouped").isNull() | F.col("first").isNotNull() & own)
     single = F.coalesce(F.col("first.copies"), F.lit(1)) == 1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Words everywhere: runs of anything but these six ASCII white-space bytes. bytes.split() cuts at exactly these.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
-#: Stands for a null id inside joins and orderings; results show null again.
+#: Stands for a null id inside joins and orderings; results show null again. So a row of this very id counts as one without.
 NULL_ID = -(2**63)
 
 
