@@ -71,31 +71,48 @@ def delay_of(mic: np.ndarray, ref: np.ndarray, rate: int = 16_000, most: int = 8
 def cancelled(mic: np.ndarray, ref: np.ndarray, taps: int = 512, mu: float = 0.4, keep_under: float = 0.95) -> np.ndarray:
     """mic without the echo of ref, by a normalised LMS filter after aligning the two; mic as it is where that would not lower its
     energy to 95 % over frames in which ref is active."""
-    mic, ref = np.asarray(mic, dtype=float), np.asarray(ref, dtype=float)
-    if not len(mic) or not np.any(ref):
-        return mic
-    lag = delay_of(mic, ref)
-    moved = np.zeros(len(mic))
-    src = ref[max(0, -lag) : max(0, -lag) + len(mic) - max(0, lag)]
-    moved[max(0, lag) : max(0, lag) + len(src)] = src
-    lines = np.concatenate((np.zeros(taps - 1), moved))
-    w, out = np.zeros(taps), np.empty(len(mic))
-    power = np.convolve(lines**2, np.ones(taps), "valid")
-    for i in range(len(mic)):
-        x = lines[i : i + taps]
-        e = mic[i] - w @ x
-        out[i] = e
-        w += mu * e * x / (power[i] + 1e-6)
-    active = np.abs(moved) > 1e-4
-    before, after = np.square(mic[active]).sum(), np.square(out[active]).sum()
-    return out if before > 0 and after < keep_under * before else mic
+    return cancelled_each([mic], [ref], taps, mu, keep_under)[0]
+
+
+def cancelled_each(mics: list, refs: list, taps: int = 512, mu: float = 0.4, keep_under: float = 0.95) -> list[np.ndarray]:
+    """cancelled() of many recordings side by side: each step of the filter is taken for all of them at once."""
+    mics, refs = [np.asarray(x, dtype=float) for x in mics], [np.asarray(x, dtype=float) for x in refs]
+    out = list(mics)
+    use = sorted((i for i, (m, r) in enumerate(zip(mics, refs, strict=True)) if len(m) and np.any(r)), key=lambda i: -len(mics[i]))
+    if not use:
+        return out
+    n = len(mics[use[0]])
+    moved, heard, sizes = np.zeros((len(use), n)), np.zeros((len(use), n)), np.array([len(mics[i]) for i in use])
+    for row, i in enumerate(use):
+        mic, lag = mics[i], delay_of(mics[i], refs[i])
+        src = refs[i][max(0, -lag) : max(0, -lag) + len(mic) - max(0, lag)]
+        moved[row, max(0, lag) : max(0, lag) + len(src)] = src
+        heard[row, : len(mic)] = mic
+    lines = np.concatenate((np.zeros((len(use), taps - 1)), moved), axis=1)
+    squares = np.cumsum(np.concatenate((np.zeros((len(use), 1)), lines**2), axis=1), axis=1)
+    power = np.maximum(squares[:, taps:] - squares[:, :-taps], 0.0) + 1e-6
+    w, left, live = np.zeros((len(use), taps)), np.zeros((len(use), n)), len(use)
+    for i in range(n):
+        while sizes[live - 1] <= i:  # the shortest come last and end first
+            live -= 1
+        x = lines[:live, i : i + taps]
+        e = heard[:live, i] - np.einsum("ij,ij->i", w[:live], x)
+        left[:live, i] = e
+        w[:live] += (mu * e / power[:live, i])[:, None] * x
+    for row, i in enumerate(use):
+        m = sizes[row]
+        active = np.abs(moved[row, :m]) > 1e-4
+        before, after = np.square(mics[i][active]).sum(), np.square(left[row, :m][active]).sum()
+        if before > 0 and after < keep_under * before:
+            out[i] = left[row, :m].copy()
+    return out
 
 
 def cancel_echo(mic: Column, ref: Column) -> Column:
-    """cancelled over two columns of samples, in Arrow batches."""
+    """cancelled over two columns of samples, the recordings of an Arrow batch side by side."""
 
     def run(m: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([cancelled(np.asarray(a), np.asarray(b)).tolist() for a, b in zip(m, r, strict=True)])
+        return pd.Series([x.tolist() for x in cancelled_each(list(m), list(r))])
 
     return F.pandas_udf(run, "array<double>")(mic, ref)
 

@@ -93,6 +93,9 @@ def test_signal(spark):
     out = signal.cancelled(mic, ref)
     assert np.square(out[8000:]).sum() < 0.25 * np.square(mic[8000:]).sum()
     assert (signal.cancelled(mic, np.zeros(16_000)) == mic).all()
+    parts = [(mic[:4000], ref[:4000]), (mic[:900], ref[:900]), (mic[:100], np.zeros(100)), (np.zeros(0), ref)]
+    for (m, r), got in zip(parts, signal.cancelled_each([m for m, _ in parts], [r for _, r in parts]), strict=True):
+        assert np.allclose(got, signal.cancelled(m, r)) and len(got) == len(m)
     row = spark.createDataFrame([([0.5, 0.75, -1.0], [0.75])], "a array<float>, b array<float>").select(signal.mix(F.col("a"), F.col("b")), signal.rms(F.col("b")), signal.peak(F.col("a")), signal.downmix(F.col("a"), 2, True)).first()
     assert list(row) == [[1.0, 0.75, -1.0], 0.75, 1.0, [0.625, -1.0]]
     assert len(signal.resample_linear(np.ones(480), 48_000, 16_000)) == 160 and len(signal.resample_sinc(np.ones(480), 48_000)) == 160
