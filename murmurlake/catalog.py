@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog_base import TODAY, actions, job_rows, recordings, signals, table, utterances
+from .catalog_base import TODAY, actions, job_rows, recordings, signals, table, turns, utterances
 from .functions import signal
 from .functions import text as tx
 from .operators import align, chunking, gazetteer, jobs, masking, spans, transcript
@@ -166,13 +166,6 @@ def speakers_in_order(spark, sf_dir):
     return align.speakers(utterances(spark, sf_dir)).select("meeting_id", F.col("ord").cast("long").alias("ord"), "speaker")
 
 
-def turns(spark, sf_dir) -> DataFrame:
-    """Fixed 7-second turns of three voices over each meeting."""
-    ends = utterances(spark, sf_dir).groupBy("meeting_id").agg(F.ceil(F.max("end") / 7).cast("int").alias("n"))
-    each = ends.where("n > 0").select("meeting_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return each.select("meeting_id", (F.col("i") * 7.0).alias("start"), (F.col("i") * 7.0 + 7.0).alias("end"), F.pmod(F.col("i") * F.col("i") + F.col("meeting_id"), F.lit(3)).cast("int").alias("speaker"))
-
-
 def align_dominant_speaker(spark, sf_dir):
     rows = utterances(spark, sf_dir).select("meeting_id", "idx", "start", "end")
     return align.dominant_speaker(rows, turns(spark, sf_dir)).select("meeting_id", "idx", "cluster")
@@ -327,8 +320,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     },
 }
 
-from . import catalog_workspace  # noqa: E402
+from . import catalog_details, catalog_workspace  # noqa: E402
 from .catalog_sql import ORACLE_SQL as _SQL  # noqa: E402
 
-QUERIES |= catalog_workspace.QUERIES
-ORACLE_SQL = _SQL | catalog_workspace.ORACLE_SQL
+QUERIES |= catalog_workspace.QUERIES | catalog_details.QUERIES
+ORACLE_SQL = _SQL | catalog_workspace.ORACLE_SQL | catalog_details.ORACLE_SQL

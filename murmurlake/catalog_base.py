@@ -27,6 +27,13 @@ def utterances(spark, sf_dir) -> DataFrame:
     return rows.withColumns({"start": (chars - F.length("text")) / 15.0, "end": chars / 15.0}).withColumn("name", F.initcap("speaker"))
 
 
+def turns(spark, sf_dir) -> DataFrame:
+    """Fixed 7-second turns of three voices over each meeting."""
+    ends = utterances(spark, sf_dir).groupBy("meeting_id").agg(F.ceil(F.max("end") / 7).cast("int").alias("n"))
+    each = ends.where("n > 0").select("meeting_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return each.select("meeting_id", (F.col("i") * 7.0).alias("start"), (F.col("i") * 7.0 + 7.0).alias("end"), F.pmod(F.col("i") * F.col("i") + F.col("meeting_id"), F.lit(3)).cast("int").alias("speaker"))
+
+
 def job_rows(spark, sf_dir) -> DataFrame:
     """Orders as jobs: nested actions from line items, folder from region, nation and market segment."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -65,3 +72,18 @@ def recordings(spark, sf_dir) -> DataFrame:
 def stamp_sql(x: str, mark: str = ".") -> str:
     ms = f"round({x} * 1000)::BIGINT"
     return f"printf('%02d:%02d:%02d{mark}%03d', {ms} // 3600000, ({ms} // 60000) % 60, ({ms} // 1000) % 60, {ms} % 1000)"
+
+
+def turns_sql(utterances: str) -> str:
+    """CTE g(meeting_id, idx, cluster): the voice with the most overlap of each utterance, from turns()."""
+    return utterances + """, e AS (
+  SELECT meeting_id, ceil(max("end") / 7)::INT AS n FROM u GROUP BY meeting_id
+), t AS (
+  SELECT meeting_id, i * 7.0::DOUBLE AS s, i * 7.0::DOUBLE + 7.0 AS e, ((i * i + meeting_id) % 3)::INT AS cluster FROM (SELECT meeting_id, unnest(range(0, n)) AS i FROM e WHERE n > 0)
+), o AS (
+  SELECT u.meeting_id, u.idx, t.cluster, sum(least(u."end", t.e) - greatest(u."start", t.s)) AS overlap FROM u JOIN t ON u.meeting_id = t.meeting_id AND u."start" < t.e AND t.s < u."end" GROUP BY ALL
+), best AS (
+  SELECT meeting_id, idx, cluster FROM o WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY meeting_id, idx ORDER BY overlap DESC, cluster) = 1
+), g AS (
+  SELECT u.meeting_id, u.idx, best.cluster FROM u LEFT JOIN best ON u.meeting_id = best.meeting_id AND u.idx = best.idx
+)"""

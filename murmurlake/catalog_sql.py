@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .catalog_base import stamp_sql as _stamp
+from .catalog_base import turns_sql
 from .operators.spans import LABELS, TERM_LISTS, TermList
 from .samples import SENTENCES
 
@@ -44,17 +45,7 @@ WITH r AS (
 )"""
 
 
-_TURNS = _U + """, e AS (
-  SELECT meeting_id, ceil(max("end") / 7)::INT AS n FROM u GROUP BY meeting_id
-), t AS (
-  SELECT meeting_id, i * 7.0::DOUBLE AS s, i * 7.0::DOUBLE + 7.0 AS e, ((i * i + meeting_id) % 3)::INT AS cluster FROM (SELECT meeting_id, unnest(range(0, n)) AS i FROM e WHERE n > 0)
-), o AS (
-  SELECT u.meeting_id, u.idx, t.cluster, sum(least(u."end", t.e) - greatest(u."start", t.s)) AS overlap FROM u JOIN t ON u.meeting_id = t.meeting_id AND u."start" < t.e AND t.s < u."end" GROUP BY ALL
-), best AS (
-  SELECT meeting_id, idx, cluster FROM o WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY meeting_id, idx ORDER BY overlap DESC, cluster) = 1
-), g AS (
-  SELECT u.meeting_id, u.idx, best.cluster FROM u LEFT JOIN best ON u.meeting_id = best.meeting_id AND u.idx = best.idx
-)"""
+_TURNS = turns_sql(_U)
 
 _SOURCES = _U + """, k AS (
   SELECT meeting_id, idx, "start", "end", text, 'Jag' AS speaker, 0 AS src FROM u WHERE speaker = 'user'

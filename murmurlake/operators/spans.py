@@ -310,7 +310,7 @@ def joined_token_spans(docs: DataFrame, tags: DataFrame) -> DataFrame:
     and only white space and hyphens, or nothing, lies between."""
     t = F.col("whole")
     wide = tags.join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
-    head = F.length(F.regexp_extract(F.substr(t, F.lit(1), F.col("s")), ALNUM + "*$", 0))
+    head = F.length(F.regexp_extract(F.substr(t, F.lit(1), F.col("s")), ALNUM + r"*\z", 0))
     tail = F.length(F.regexp_extract(F.substr(t, F.col("e") + 1), "^" + ALNUM + "*", 0))
     wide = wide.withColumns({"s": F.col("s") - head, "e": F.col("e") + tail})
     w = Window.partitionBy("doc_id").orderBy("ord")
