@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 from ..functions.text import find_all, normal_form
 from .spans import LABELS, PRIORITY, RULES, TERM_LISTS, TermList, TermMatcher, listed_terms, rule_array
 
-SPAN = "struct<p:int,n:int,s:int,d:int,o:int,e:int,text:string,category:string,source:string,score:float>"
 
 
 def _lookup(values: dict, key: Column) -> Column:
@@ -25,20 +24,26 @@ def resolve(spans: DataFrame, enabled: set[str] | None = None) -> DataFrame:
     """Spans without overlaps, per document: by source priority, then length in bytes, then start, then order of detection, each
     span is kept that overlaps no kept one. A loser's loser may be kept. Touching spans do not overlap. Scores play no part.
 
-    A document's candidates are one array; the fold over it is Catalyst's own.
+    A document's candidates are one array; each is tested against its two neighbours among those kept.
     """
     rows = spans.where(F.col("span_end") > F.col("span_start"))
     if enabled is not None:
         rows = rows.where(F.col("category").isin(*enabled))
-    key = F.struct(
-        (-_lookup(PRIORITY, F.col("source"))).alias("p"), (-F.octet_length("text")).alias("n"), F.col("span_start").alias("s"), F.col("detector_ord").alias("d"),
-        F.col("emit_ord").alias("o"), F.col("span_end").alias("e"), "text", "category", "source", "score",
-    )
-    each = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(key)).alias("all"))
-    free = lambda kept, x: ~F.exists(kept, lambda k: (x["s"] < k["e"]) & (k["s"] < x["e"]))
-    kept = F.aggregate("all", F.array().cast(f"array<{SPAN}>"), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
-    out = each.select("doc_id", F.posexplode(F.array_sort(kept, lambda a, b: a["s"] - b["s"])).alias("span_id", "k"))
-    return out.select("doc_id", "span_id", F.col("k.s").alias("span_start"), F.col("k.e").alias("span_end"), "k.text", "k.category", "k.source", "k.score")
+    each = rows.groupBy("doc_id").agg(F.collect_list(F.struct("span_start", "span_end", "text", "category", "source", F.col("score").cast("float").alias("score"), "detector_ord", "emit_ord")).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, out = [], []
+            for i, found in enumerate(b.column(1).to_pylist()):
+                kept = without_overlaps(found)
+                row += [i] * len(kept)
+                out += [(nth, *[x[c] for c in ("span_start", "span_end", "text", "category", "source", "score")]) for nth, x in enumerate(kept)]
+            if out:
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *cols], ["doc_id", "span_id", "span_start", "span_end", "text", "category", "source", "score"])
+
+    kind = spans.schema["doc_id"].dataType.simpleString()
+    return each.mapInArrow(run, f"doc_id {kind}, span_id int, span_start int, span_end int, text string, category string, source string, score float")
 
 
 KEPT = "array<struct<span_id:int,span_start:int,span_end:int,text:string,category:string,source:string,score:float,replacement:string>>"
