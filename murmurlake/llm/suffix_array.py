@@ -180,13 +180,23 @@ def stretch_numbers(ranges: dict[int, tuple[int, bytes, bytes, dict[int, int]]],
     return [x for x in out if len(parts[x[1], x[3]]) > 1]
 
 
-def array_hits(paths: DataFrame, window: int, k: int = 8, at_once: int = 20_000) -> DataFrame:
+def array_hits(paths: DataFrame, window: int, k: int = 8, at_once: int = 20_000, most: int = 50_000) -> DataFrame:
     """paths (path, path2, id, words), distinct fragments with their smallest document, to (path, path2, at), the windows that a smaller
-    document has in another fragment. To the driver go some rows for each range of the sort, whatever the data's size."""
+    document has in another fragment. To the driver go some rows for each range of the sort, whatever the data's size.
+
+    Stretches share k words at least, so ranges are cut between suffixes that differ in these; only where more than `most` suffixes share
+    them may a cut go through, and stretches go on beyond it.
+    """
     spark = paths.sparkSession
-    kept = written(retained_suffixes(paths, window, k))
-    order = ["right", "path", "path2", "at"]
-    found = written(neighbours(kept.repartitionByRange(*order).sortWithinPartitions(*order), window, k, at_once))
+    kept = written(retained_suffixes(paths, window, k).withColumn("head", F.expr(f"substring(right, 1, {8 * k})")))
+    common = written(kept.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") > most).select("head"))
+    if common.isEmpty():
+        dealt = kept.repartitionByRange("head")
+    else:
+        marked = guarded_join(kept, common.withColumn("many", F.lit(True)), ["head"], "left")
+        dealt = marked.withColumns({"cut": F.when(F.col("many"), F.col("right")), "cut2": F.when(F.col("many"), F.col("path"))}).repartitionByRange("head", "cut", "cut2")
+    columns = ["path", "path2", "id", "at", "right", "left"]
+    found = written(neighbours(dealt.select(*columns).sortWithinPartitions("right", "path", "path2", "at"), window, k, at_once))
     ranges: dict[int, tuple] = {}
     for r in found.where("kind > 1").orderBy("part", "kind", "number").select("kind", "part", "o", "number", "edge").collect():
         if r.kind == 3:

@@ -58,8 +58,8 @@ def test_trees_empty_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 1, 0), (1, 60, 0), (1, 60, 0), (2, 1, 0), (2, 60, 60)]
 
 
-@pytest.mark.parametrize("ranges, at_once", [(1, 20_000), (1, 9), (7, 20_000), (5, 4)])
-def test_arrays_equal_brute_force(spark, ranges, at_once):
+@pytest.mark.parametrize("ranges, at_once, most", [(1, 20_000, 2), (1, 9, 50_000), (7, 20_000, 2), (5, 4, 2), (7, 9, 50_000)])
+def test_arrays_equal_brute_force(spark, ranges, at_once, most):
     rows = corpus(9)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, selector string")
     name, batch = "spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -68,7 +68,7 @@ def test_arrays_equal_brute_force(spark, ranges, at_once):
     spark.conf.set(batch, str(min(at_once, 2000)))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_tree.without_repeats(df, finder=partial(suffix_array.array_hits, at_once=at_once)).collect()}
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_tree.without_repeats(df, finder=partial(suffix_array.array_hits, at_once=at_once, most=most)).collect()}
     finally:
         spark.conf.set(name, before)
         spark.conf.set(batch, "2000")
