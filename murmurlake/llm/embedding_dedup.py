@@ -37,10 +37,10 @@ def fit_codebook(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     x = np.unique(x, axis=0)
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
-        near = ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)).argmin(1)
-        for j in range(len(c)):
-            if (near == j).any():
-                c[j] = x[near == j].mean(0)
+        near = bounds_in_parts(x, c)
+        order = np.argsort(near, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], near[order][1:] != near[order][:-1])))
+        c[near[order][first]] = np.add.reduceat(x[order], first) / np.diff(np.concatenate((first, [len(x)])))[:, None]
     return np.unique(c, axis=0)
 
 
@@ -77,13 +77,23 @@ def visited(a: np.ndarray, b: np.ndarray, reach: float, first: int = 0) -> np.nd
     return i[x] * len(b) + j[y]
 
 
-def line_of(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Where each cell (i, j) begins on a line of length 1: the sample's share of first codes below i, and of i that of second codes below j."""
-    half, parts = books[0].shape[1], []
-    for y, c in ((x[:, :half], books[0]), (x[:, half:], books[1])):
-        parts.append(np.bincount(bounds(y, c)[0], minlength=len(c)) / len(x))
-    before = [np.concatenate(([0.0], np.cumsum(p)[:-1])) for p in parts]
-    return before[0][:, None] + parts[0][:, None] * before[1][None, :]
+class Line:
+    """Where cells (i, j) begin on a line of length 1: the sample's share of first codes below i, and of i that of second codes below j."""
+
+    def __init__(self, x: np.ndarray, books: tuple[np.ndarray, np.ndarray]):
+        half = books[0].shape[1]
+        shares = [np.bincount(bounds_in_parts(y, c), minlength=len(c)) / len(x) for y, c in ((x[:, :half], books[0]), (x[:, half:], books[1]))]
+        self.share = shares[0]
+        self.first, self.second = (np.concatenate(([0.0], np.cumsum(p)[:-1])) for p in shares)
+
+    def __call__(self, cells: np.ndarray) -> np.ndarray:
+        i, j = np.divmod(cells, len(self.second))
+        return self.first[i] + self.share[i] * self.second[j]
+
+
+def bounds_in_parts(x: np.ndarray, c: np.ndarray, rows: int = 1000) -> np.ndarray:
+    """The nearest centroid of each row, some rows at a time."""
+    return np.concatenate([((c * c).sum(1) - 2 * x[lo : lo + rows] @ c.T).argmin(1) for lo in range(0, len(x), rows)])
 
 
 def _unit(rows) -> np.ndarray:
@@ -96,7 +106,7 @@ def raw_type(vectors: DataFrame) -> str:
     return "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
 
 
-def indexed(vectors: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, line: np.ndarray | None, reach: float) -> DataFrame:
+def indexed(vectors: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, line: Line | None, reach: float) -> DataFrame:
     """vectors (label, id, m, embedding, stretches) to (label, dim, c1, c2, stretch, id, m, raw, visits): the two codes, the stretch of
     the label's line that its cell lies in, and the stretches with cells that it visits, from its own on; raw are its components.
 
@@ -119,8 +129,8 @@ def indexed(vectors: DataFrame, books: tuple[np.ndarray, np.ndarray] | None, lin
                     cells = n1 * len(books[1]) + n2
                     for i, cell, first, p, q in zip(at, cells, n1, g1, g2, strict=True):
                         met = visited(p, q, reach, first)
-                        seen[i] = np.unique((line.ravel()[met[met >= cell]] * count[i]).astype(np.int32))
-                        own[i] = int(line.ravel()[cell] * count[i])
+                        seen[i] = np.unique((line(met[met >= cell]) * count[i]).astype(np.int32))
+                        own[i] = int(line(np.array([cell]))[0] * count[i])
                 cols = [part.column(0), pa.array(dims, pa.int32()), pa.array(codes[0]), pa.array(codes[1]), pa.array(own), part.column(1), part.column(2), pa.array([np.array(r, dtype=width).tobytes() for r in rows], pa.binary()), pa.array(seen, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, ["label", "dim", "c1", "c2", "stretch", "id", "m", "raw", "visits"])
 
@@ -224,7 +234,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98, sample: int = 20_0
     zero, or hold null or non-finite components link with nothing. Equal vectors of a label are compared once and count by
     their number. Of rows that repeat an id the least (embedding, label) stands for it; a null id is one vector, below all
     others, shown as null. Empty tables give no rows; further columns are left out. Ids are integers.
-    sample: the most vectors that codebooks are fitted on; the number of centroids follows the number of vectors. A stretch of
+    sample: the most vectors that codebooks are fitted on; the number of centroids follows the number of vectors, up to an eighth of
+    the sample. A stretch of
     more than two blocks of vectors is split by a hash, and every query of the stretch visits its parts.
     """
     spark = embeddings.sparkSession
@@ -240,9 +251,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.98, sample: int = 20_0
         dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 0
         if dim >= 2:
             x = _unit([list(v) for v in took if len(v) == dim])
-            k = int(max(2, np.sqrt(n / per_cell)))
+            k = int(max(2, min(np.sqrt(n / per_cell), len(x) / 8)))
             books = (fit_codebook(x[:, : dim // 2], k), fit_codebook(x[:, dim // 2 :], k))
-            line = line_of(x, books)
+            line = Line(x, books)
     known = guarded_join(reps.select("label", F.col("rep").alias("id"), "m", "embedding"), sizes, ["label"])
     index = written(indexed(known, books, line, reach))
     counts = written(index.groupBy("label", "dim", "stretch").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("parts")))
