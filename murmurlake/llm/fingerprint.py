@@ -35,7 +35,7 @@ def _sample(k: int) -> Column:
     return F.shiftleft(F.floor((F.least(ln_a, F.lit(20.0)) + 100.0) * float(2**24)), 32).bitwiseOR(sign)
 
 
-def fingerprints(texts: DataFrame, text_cols: tuple[str, str], samples: int = 40) -> DataFrame:
+def fingerprints(texts: DataFrame, text_cols: tuple[str, str], samples: int = 36) -> DataFrame:
     """For each row and each of the two text_cols, `<col>_sig`: array of 16-bit samples; texts without words give no array.
 
     The other columns must tell the rows apart and stay; a row none of whose texts has words is missing. A term that both texts have
@@ -84,7 +84,7 @@ def next_keys(keys: DataFrame, parts: int) -> DataFrame:
     return ranged.withColumn("lead", lead).join(F.broadcast(firsts), "part").withColumn("next_key", F.coalesce("lead", "following")).drop("lead", "following", "part")
 
 
-def fingerprint_with_neighbours(docs: DataFrame, samples: int = 40, id_col: str = "doc_id") -> DataFrame:
+def fingerprint_with_neighbours(docs: DataFrame, samples: int = 36, id_col: str = "doc_id") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
 
     edited: the last quarter (rounded down) of the code points replaced by the first as many, or all, of the next document by
