@@ -309,7 +309,7 @@ def _pieces():
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(_pieces(), "source string, start_s double, samples array<double>, rate int")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    stream = live.read_capture(spark, str(tmp_path / "in"))
     q = live.live_chunks(stream).writeStream.format("memory").queryName("chunks").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     key = lambda rows: sorted((r.source, round(r.start_s, 6), len(r.samples)) for r in rows)
