@@ -254,10 +254,11 @@ def total_bytes(jobs: DataFrame, size: str = "bytes") -> DataFrame:
 
 
 def job_by_id(jobs: DataFrame, id_: object) -> DataFrame:
-    """The job of an id; none of that id is an error once rows are asked for."""
+    """The job of an id; none of that id is an error, at once."""
     hit = jobs.where(F.col("id") == id_)
-    checked = hit.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") == 0, F.raise_error(F.lit(f"there is no job {id_}"))).otherwise(F.col("_n")).alias("_n"))
-    return checked.join(hit, F.col("_n") > 0).drop("_n")  # one row meets the rows of one id
+    if hit.isEmpty():
+        raise ValueError(f"there is no job {id_}")
+    return hit
 
 
 def path_parts(path: Column) -> Column:
