@@ -10,6 +10,7 @@ within their length then say which place of which sequence each piece takes.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,24 +26,43 @@ from .common import by_bytes, pick, small_batches, text_bytes, written
 PIECES = "piece int, start long, length long, ids binary"
 
 
+def letters(word: bytes) -> bool:
+    """Letters only, and still so once composed: some take marks of their own then, to which signs would be joined."""
+    x = word.decode("utf-8", "replace")
+    return x.isalpha() and unicodedata.is_normalized("NFC", x)
+
+
 class WordIds:
     """Token ids (little-endian unsigned 32-bit) of white-space separated words, remembered up to a bounded number.
 
     Holds for tokenizers that drop white space and never join across it, as word-level BPE with word ends does. Unknown
-    words are encoded together in one text; each pre-token ends in the one token that carries the end-of-word suffix.
+    words are encoded together in one text; each pre-token ends in the one token that carries the end-of-word suffix. Signs at a
+    word's end are encoded apart where the tokenizer is seen to do so, and case is dropped where it is seen to drop it.
     """
 
+    SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.t, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.ends = np.zeros(self.t.get_vocab_size(), dtype=bool)
         self.ends[[i for w, i in self.t.get_vocab().items() if w.endswith("</w>")]] = True
-        self.comma = {p: self._one(p) for p in (b",", b".")}
+        self.tails: dict[bytes, bytes | None] = {b"": b""}
+        self.folds = self._one(b"Ab") == self._one(b"ab")
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.t.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def tail(self, signs: bytes) -> bytes | None:
+        """The ids of signs that end a word; None if they are not encoded by themselves there."""
+        if signs not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {b"": b""}
+            own = self._one(signs)
+            self.tails[signs] = own if self._one(b"ab" + signs) == self._one(b"ab") + own else None
+        return self.tails[signs]
+
     def encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Words of letters only are one pre-token each: many go into one text, cut where a word end stands."""
         plain = [(w, x) for w in words if (x := w.decode("utf-8", "replace")).isalpha()]
@@ -64,12 +84,16 @@ class WordIds:
         """Ids of all `words` that are not known yet, remembering the short ones while there is room."""
         split, stems, known = {}, set(), self.known
         for w in words.difference(known):
-            stem, tail = (w[:-1], w[-1:]) if w[-1:] in self.comma and w[-2:-1].isalpha() else (w, b"")
-            stem = stem.lower() if stem.isalpha() else stem
+            stem = w.rstrip(self.SIGNS)
+            tail = self.tail(w[len(stem) :]) if len(stem) < len(w) else b""
+            if tail is None or not stem or tail and not letters(stem):
+                stem, tail = w, b""
+            elif self.folds:
+                stem = stem.lower()
             split[w] = (stem, tail)
             stems.add(stem)
         got = self.encoded(stems.difference(known))
-        ids = {w: (got[stem] if stem in got else known[stem]) + (self.comma[tail] if tail else b"") for w, (stem, tail) in split.items()}
+        ids = {w: (got[stem] if stem in got else known[stem]) + tail for w, (stem, tail) in split.items()}
         if len(known) < self.most:
             known.update((w, x) for d in (got, ids) for w, x in d.items() if len(w) <= 40)
         return ids
