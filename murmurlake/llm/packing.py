@@ -257,19 +257,19 @@ def places(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> pd.DataFra
     return pd.DataFrame(rows, columns=["length", "lo", "hi", "first", "at"]).astype("int64")
 
 
-def assign_sequences(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id", each: int = 250_000, patterns_most: int = 30_000) -> DataFrame:
+def assign_sequences(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id", each: int = 250_000, least: int = 1000, patterns_most: int = 30_000) -> DataFrame:
     """pieces (id, piece, length, ...) plus sequence_id and offset. `pieces` is read three times: pass a written table.
 
-    A length may be most pieces, so a length of more than `each` pieces is ranked in as many parts of about that many, shifted by the
-    counts of the parts before. To the driver go the counts by length and part, back go as many shifts and the places of the plan;
+    A length may be most pieces, so its pieces are ranked in parts, shifted by the counts of the parts before: up to 64 parts of `least`
+    pieces or more, and as many as it takes for a part to have no more than about `each`. To the driver go the counts by length and part, back go as many shifts and the places of the plan;
     all are bounded by `capacity` and pieces / each. Within one sequence offsets are gapless from 0. No pieces give no rows.
     """
     spark = pieces.sparkSession
     lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     parts = F.lit(1)
     for length, n in sorted(lengths.items()):
-        if n > each:
-            parts = F.when(F.col("length") == length, -(-n // each)).otherwise(parts)
+        if n > least:
+            parts = F.when(F.col("length") == length, max(-(-n // each), min(64, -(-n // least)))).otherwise(parts)
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), "piece"), parts).cast("int"))
     hist = pieces.groupBy("length", "part").count().toPandas().sort_values(["length", "part"]).reset_index(drop=True)
     counts = np.zeros(capacity + 1, dtype=np.int64)
