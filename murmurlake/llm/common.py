@@ -65,7 +65,7 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in Arrow batches of at most `rows` rows where the session has Spark's default of 10,000; a session that
     has set another number keeps it. Results do not depend on it.
 
