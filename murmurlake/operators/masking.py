@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import find_all, normal_form
+from ..functions.text import normal_form
 from .spans import LABELS, PRIORITY, RULES, TERM_LISTS, TermList, TermMatcher, listed_terms, rule_array
 
 
@@ -206,17 +206,44 @@ def counts(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("doc_id", _lookup(LABELS, F.col("category")).alias("label")).agg(F.count("*").alias("n"))
 
 
+#: White space of any script, as a class.
+_SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def render_segments(rows: DataFrame) -> DataFrame:
     """analysed() rows, or rows (doc_id, text, spans) like them, to (doc_id, seg_start, seg_end, text, span_id, word): spans and, between
     them, alternating words and white space. A row is rendered in itself."""
-    rows = rows.where("text IS NOT NULL")
-    prev = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["span_end"])
-    gaps = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: F.struct(prev(i).alias("s"), F.coalesce(F.get("spans", i)["span_start"], F.length("text")).alias("e")))
-    plain = rows.select("doc_id", "text", F.explode(F.filter(gaps, lambda g: g["e"] > g["s"])).alias("g"))
-    plain = plain.select("doc_id", F.col("g.s").alias("at"), F.explode(find_all(F.substr("text", F.col("g.s") + 1, F.col("g.e") - F.col("g.s")), r"(?U:\s+|\S+)")).alias("m"))
-    plain = plain.select("doc_id", (F.col("at") + F.col("m.start")).alias("seg_start"), (F.col("at") + F.col("m.end")).alias("seg_end"), F.col("m.text").alias("text"), F.lit(None).cast("int").alias("span_id"), F.col("m.text").rlike(r"(?U)^\S").alias("word"))
-    own = spans_of(rows).select("doc_id", F.col("span_start").alias("seg_start"), F.col("span_end").alias("seg_end"), "text", "span_id", F.lit(True).alias("word"))
-    return plain.unionByName(own)
+    names = ["doc_id", "seg_start", "seg_end", "text", "span_id", "word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = re.compile(f"([{_SPACES}]+)|[^{_SPACES}]+")
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                row, start, end, texts, ids, word = [], [], [], [], [], []
+                for i, (text, spans) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    at, before = 0, len(row)
+                    for x in [*spans, None]:
+                        stop = len(text) if x is None else x["span_start"]
+                        for m in piece.finditer(text, at, stop):
+                            start.append(m.start())
+                            end.append(m.end())
+                            texts.append(m[0])
+                            ids.append(None)
+                            word.append(m[1] is None)
+                        if x is not None:
+                            at = x["span_end"]
+                            start.append(x["span_start"])
+                            end.append(at)
+                            texts.append(x["text"])
+                            ids.append(x["span_id"])
+                            word.append(True)
+                    row += [i] * (len(start) - before)
+                cols = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(texts, pa.string()), pa.array(ids, pa.int32()), pa.array(word, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *cols], names)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.where("text IS NOT NULL").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, seg_start int, seg_end int, text string, span_id int, word boolean")
 
 
 def segment_paragraphs(segments: DataFrame, paras: DataFrame) -> DataFrame:
