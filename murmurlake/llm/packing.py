@@ -266,11 +266,12 @@ def assign_sequences(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc
     """
     spark = pieces.sparkSession
     lengths = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    parts = F.lit(1)
-    for length, n in sorted(lengths.items()):
+    parts = [1] * (capacity + 1)
+    for length, n in lengths.items():
         if n > least:
-            parts = F.when(F.col("length") == length, max(-(-n // each), min(64, -(-n // least)))).otherwise(parts)
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), "piece"), parts).cast("int"))
+            parts[length] = max(-(-n // each), min(64, -(-n // least)))
+    of = F.expr(f"array({', '.join(map(str, parts))})")[F.col("length")]  # flat: a branch for each length nests deeper than the driver's stack
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), "piece"), of).cast("int"))
     hist = pieces.groupBy("length", "part").count().toPandas().sort_values(["length", "part"]).reset_index(drop=True)
     counts = np.zeros(capacity + 1, dtype=np.int64)
     counts[list(lengths)] = list(lengths.values())

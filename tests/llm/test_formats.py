@@ -123,6 +123,15 @@ def test_packed_pieces(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
 
 
+def test_every_length_is_dealt_over_parts(spark):
+    """As on a large corpus: each of the 2048 lengths has more pieces than one part is to have."""
+    pieces = spark.range(3 * 2048).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") % 2048 + 1).alias("length"))
+    got = packing.assign_sequences(pieces, 2048, least=1).select("doc_id", "length", "sequence_id", "offset").toPandas().sort_values(["sequence_id", "offset"])
+    end = got["offset"] + got["length"]
+    assert got["doc_id"].nunique() == len(got) == 3 * 2048 and (got["length"] == got["doc_id"] % 2048 + 1).all() and end.max() <= 2048
+    assert (got["offset"] == end.groupby(got["sequence_id"]).shift(fill_value=0)).all()
+
+
 def test_main_text(spark):
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body class='with-ads'><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use</div>"
