@@ -64,7 +64,7 @@ class Chunker:
 
 
 def _frame(source: str, found: list[tuple[float, np.ndarray]]) -> pd.DataFrame:
-    return pd.DataFrame({"source": [source] * len(found), "start_s": [s for s, _ in found], "samples": [x.tolist() for _, x in found]})
+    return _frames([(source, *y) for y in found])
 
 
 def live_chunks(stream: DataFrame, idle_ms: int = 10_000) -> DataFrame:
@@ -105,7 +105,8 @@ def batch_chunks(rows: DataFrame, flush: bool = True) -> DataFrame:
 
 
 def _frames(found: list[tuple[str, float, np.ndarray]]) -> pd.DataFrame:
-    return pd.DataFrame({"source": [x[0] for x in found], "start_s": [x[1] for x in found], "samples": [x[2].tolist() for x in found]})
+    """Columns of objects where nothing is found: Arrow makes no arrays of the numbers that pandas takes empty columns for."""
+    return pd.DataFrame([(source, at, x.tolist()) for source, at, x in found], columns=["source", "start_s", "samples"])
 
 
 def both_sources(mic: DataFrame, meeting: DataFrame) -> DataFrame:

@@ -237,6 +237,18 @@ def test_batch_chunks_equal_one_pass(spark):
     assert got == sorted(want) and ("long", 0.0, 1100) in got
 
 
+def _quiet(spark):
+    """Pieces of which a task, or an Arrow batch, gives no chunk: silence, and what is too short to flush."""
+    rows = [(f"s{i}", 0.0, [0.0] * 800 if i % 2 else [0.5] * 50, 100) for i in range(6)]
+    return spark.createDataFrame(rows, "source string, start_s double, samples array<double>, rate int")
+
+
+def test_nothing_found_in_a_task(spark):
+    quiet, loud = _quiet(spark), spark.createDataFrame([("loud", 0.0, [0.5] * 300, 100)], "source string, start_s double, samples array<double>, rate int")
+    assert live.batch_chunks(quiet).collect() == []
+    assert [(r.source, r.start_s, len(r.samples)) for r in live.batch_chunks(quiet.union(loud)).collect()] == [("loud", 0.0, 300)]
+
+
 def test_stop_and_recovery(spark):
     df = spark.createDataFrame(_pieces(), "source string, start_s double, samples array<double>, rate int")
     both = live.both_sources(df.where("source = 'mic'"), df.where("source = 'meeting'"))
