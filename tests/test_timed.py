@@ -272,6 +272,12 @@ def test_stop_and_recovery(spark):
     assert [(r.transcript, r.transcription_pending, r.updated_at) for r in twice] == [("text", False, "2025")]
 
 
+def test_stop_with_quiet_tasks(spark):
+    quiet, loud = _quiet(spark), spark.createDataFrame([("loud", 0.0, [0.5] * 300, 100)], "source string, start_s double, samples array<double>, rate int")
+    late = lambda rows: [(r.source, r.start, r.end) for r in live.finalised(None, rows, live.energy_stub, behind_s=12.0).collect()]
+    assert late(quiet) == [] and late(quiet.union(loud)) == [("loud", 0.0, 3.0)]
+
+
 def test_lag_is_told_once(spark, tmp_path):
     rows = [("mic", float(i), float(i) + (40.0 if i > 3 else 1.0)) for i in range(8)] + [("meeting", 0.0, 1.0)]
     df = spark.createDataFrame(rows, "source string, start_s double, now_s double")
