@@ -17,6 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: Seconds after which a chunk is cut at its quietest frame, the least and the most seconds, and the frame.
 TARGET_S, LEAST_S, MOST_S, FRAME_S = 6.0, 2.5, 11.0, 0.03
 SILENCE, FLUSH_S, GAP_MOST_S = 0.015, 1.0, 30.0
+#: Samples that go to Python, or come from it, at once: longer pieces pass the chunker in slices.
+SLICE = 1 << 20
 OUT = "source string, start_s double, samples array<double>"
 STATE = "start_s double, rate int, buffer array<double>"
 
@@ -43,14 +45,16 @@ class Chunker:
     def __init__(self, start_s: float = 0.0, rate: int = 0, buffer=()):
         self.start_s, self.rate, self.buffer = start_s, rate, np.asarray(buffer, dtype=float)
 
-    def push(self, start_s: float, samples, rate: int) -> list[tuple[float, np.ndarray]]:
+    def push(self, start_s: float, samples, rate: int, opens: bool = True, ends: bool = True) -> list[tuple[float, np.ndarray]]:
+        """Chunks of a piece, or of a slice of one: only its first slice can follow a gap, and before its last only cuts at the most length are sure."""
         if not self.rate:
             self.start_s, self.rate = start_s, rate
-        gap = start_s - (self.start_s + len(self.buffer) / self.rate)
+        gap = start_s - (self.start_s + len(self.buffer) / self.rate) if opens else 0.0
         silence = np.zeros(int(round(min(max(gap, 0.0), GAP_MOST_S) * self.rate)))
         self.buffer = np.concatenate((self.buffer, silence, np.asarray(samples, dtype=float)))
         out = []
-        while (at := cut_point(self.buffer, self.rate)) is not None:
+        most = int(MOST_S * self.rate)
+        while (ends or len(self.buffer) >= most) and (at := cut_point(self.buffer, self.rate)) is not None:
             out += self._emit(at)
         return out
 
@@ -86,22 +90,40 @@ def live_chunks(stream: DataFrame, idle_ms: int = 10_000) -> DataFrame:
 
 
 def batch_chunks(rows: DataFrame, flush: bool = True) -> DataFrame:
-    """The same over a table: a source's rows pass its chunker in order of start, an Arrow batch at a time; what a task holds is one buffer."""
+    """The same over a table: a source's rows pass its chunker in order of start, a slice at a time; what a task holds is one buffer.
+
+    Rows may be slices of pieces already: with (piece, at, ends) besides, which tell pieces of equal start apart, order the slices of a
+    piece, and mark its last one.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, c = None, None
+        source, c, opens = None, None, True
+        found: list[tuple[str, float, np.ndarray]] = []
+        held = 0
         for p in parts:
-            found: list[tuple[str, float, np.ndarray]] = []
             for r in p.itertuples():
                 if c is None or r.source != source:
                     found += [(source, *y) for y in (c.flush() if c is not None and flush else [])]
-                    source, c = r.source, Chunker()
-                found += [(source, *y) for y in c.push(r.start_s, r.samples, r.rate)]
-            yield _frames(found)
+                    source, c, opens = r.source, Chunker(), True
+                found += [(source, *y) for y in c.push(r.start_s, r.samples, r.rate, opens, r.ends)]
+                opens = r.ends
+                held += len(r.samples)
+                if held >= SLICE:
+                    yield _frames(found)
+                    found, held = [], 0
         if c is not None and flush:
-            yield _frames([(source, *y) for y in c.flush()])
+            found += [(source, *y) for y in c.flush()]
+        yield _frames(found)
+
+    slices = rows if "ends" in rows.columns else _slices(rows)
+    order = ("source", "start_s", "piece", "at")
+    return slices.select(*order, "samples", "rate", "ends").repartition("source").sortWithinPartitions(*order).mapInPandas(run, OUT)
+
 
-    return rows.select("source", "start_s", "samples", "rate").repartition("source").sortWithinPartitions("source", "start_s").mapInPandas(run, OUT)
+def _slices(rows: DataFrame) -> DataFrame:
+    """Pieces as slices of SLICE samples at most; an empty one is a slice."""
+    ats = rows.select("source", "start_s", "samples", "rate", F.monotonically_increasing_id().alias("piece")).withColumn("at", F.explode(F.expr(f"sequence(0, greatest(size(samples) - 1, 0), {SLICE})")))
+    return ats.select("source", "start_s", "piece", "at", F.slice("samples", F.col("at") + 1, SLICE).alias("samples"), "rate", (F.col("at") + SLICE >= F.size("samples")).alias("ends"))
 
 
 def _frames(found: list[tuple[str, float, np.ndarray]]) -> pd.DataFrame:

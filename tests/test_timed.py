@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from murmurlake import catalog_base as base
 from murmurlake.functions import signal, text
 from murmurlake.operators import align, chunking, gazetteer, jobs, recognition, transcript
 from murmurlake.sources import readers, writers
@@ -278,6 +279,37 @@ def test_stop_with_quiet_tasks(spark):
     assert late(quiet) == [] and late(quiet.union(loud)) == [("loud", 0.0, 3.0)]
 
 
+def test_slices_of_pieces_equal_whole_ones(spark, monkeypatch):
+    """Gaps, overlaps, short and equal starts: the chunks of slices are those of whole pieces."""
+    rng = np.random.default_rng(5)
+    rows = [(f"s{k}", at, (rng.normal(size=n) * 0.3).tolist(), 10) for k in range(3) for at, n in ((0.0, 500 + k), (45.0, 70), (52.0, 333), (200.0, 61), (201.0, 900), (300.0, 0))]
+    df = spark.createDataFrame([*rows, ("none", 0.0, [], 10)], "source string, start_s double, samples array<double>, rate int")
+    want = []
+    for k in range(3):
+        c = live.Chunker()
+        want += [(f"s{k}", s, x.tolist()) for _, at, x, rate in rows[k * 6 : k * 6 + 6] for s, x in c.push(at, x, rate)]
+        want += [(f"s{k}", s, x.tolist()) for s, x in c.flush()]
+    for most in (1, 37, 110, 1 << 20):
+        monkeypatch.setattr(live, "SLICE", most)
+        assert sorted(map(tuple, live.batch_chunks(df).collect())) == sorted(want)
+
+
+def test_no_users_values_are_gathered(spark, tmp_path):
+    """A user's recording comes in slices of bounded length, and these give the chunks of the whole pieces, signals in order of the event."""
+    events = [(i, u, float(i * 37 % 101)) for u in (1, 2, None) for i in range(400 if u == 1 else 41)] + [(None, 1, 9.0), (6, 3, 50.0), (7, 4, None)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    slices = base.recordings(spark, str(tmp_path), 16)
+    assert slices.selectExpr("max(size(samples))").first()[0] == 16
+    whole = []
+    for u in (1, 2, None, 3):
+        a, b = ([v / 100.0 for i, w, v in sorted(x for x in events if x[0] is not None and x[1] == u) if i % 2 == odd] for odd in (0, 1))
+        x = a + b + a[::-1] + b[::-1]
+        whole += [(None if u is None else str(u), 0.0, x, 2), (None if u is None else str(u), len(x) / 2, x, 2)]
+    df = spark.createDataFrame(whole, "source string, start_s double, samples array<double>, rate int")
+    of = lambda rows: sorted(((r.source or "", r.start_s, r.samples) for r in live.batch_chunks(rows).collect()))
+    assert of(slices) == of(df) and len(of(df)) > 80
+
+
 def test_lag_is_told_once(spark, tmp_path):
     rows = [("mic", float(i), float(i) + (40.0 if i > 3 else 1.0)) for i in range(8)] + [("meeting", 0.0, 1.0)]
     df = spark.createDataFrame(rows, "source string, start_s double, now_s double")
